@@ -17,6 +17,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Arrow batches to Python workers hold so many bytes at most, however long the texts.
+ARROW_BYTES = "4m"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -61,8 +63,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that do not have it installed."""
+    """Make this package importable in Python workers that do not have it installed, and bound the
+    Arrow batches they get."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if sc.applicationId in _SHIPPED:
         return
     here = os.path.dirname(os.path.abspath(__file__))
