@@ -2,10 +2,13 @@
 
 Rows are range-partitioned by sampled splitters over (head of the normalised bytes, their SHA-256,
 salt), sorted on disk within each partition, and each row is compared in full with its neighbour.
-The splitter key is bounded in size (a long text would otherwise reach the driver's sample), still
-sorts equal contents next to each other, and its salt cuts a large group of copies into many runs.
-Every run leaves one row (its first: most code points, then smallest id) and a count; runs are
-stitched by digest with a pre-aggregated group-by, and each row then looks its group up.
+The splitter key is bounded in size (a long text would otherwise reach the driver's sample) and
+sorts equal contents next to each other. In a run of equal neighbours the first row stays: most code
+points, then smallest id. The texts are shuffled once.
+
+A narrow pass counts digests beforehand. Digests that hold at least ``1/HOT_SHARE`` of all rows — at
+most ``HOT_SHARE`` of them, whatever the data — get a salt for each shuffle partition, so that their
+copies are cut into as many runs, and their leading row is known from that pass.
 
 Defined results: null text is the empty text, so all empty and all-white-space texts are one group;
 a null id sorts after every other id; repeated rows with the same id count as rows of their group,
@@ -17,12 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import join_lookup, whole
-from weft.runtime import materialize
+from weft.llm.common import HOT_SHARE, whole
+from weft.runtime import materialize, shuffle_partitions
 
 SPACES = "\t\n\x0b\f\r "
 HEAD = 32
-#: Runs that a group of copies may be cut into.
 SALTS = 64
 
 
@@ -30,38 +32,50 @@ def normalised(text: Column | str) -> Column:
     return F.translate(whole(text), SPACES, "")
 
 
-def content_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One narrow row a document: ``id, sha, salt, n, first`` — ``first`` marks the leading row of
-    each run of neighbours that are equal in full."""
-    rows = df.select(F.col(id_col).alias("id"), whole(text_col).alias("t"))
-    norm = normalised("t")
-    rows = rows.select("id", F.char_length("t").alias("n"), norm.alias("norm"))
-    rows = rows.select("*", F.substring("norm", 1, HEAD).alias("head"), F.sha2("norm", 256).alias("sha"), F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(salts)).cast("int").alias("salt"))
+def _hot_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``sha, hot_n, hot_id, hot_size`` of the digests with the most copies."""
+    narrow = df.select(F.col(id_col).alias("id"), F.char_length(whole(text_col)).alias("n"), F.sha2(normalised(text_col), 256).alias("sha"))
+    lead = F.min(F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("no_id"), F.col("id")))
+    groups = materialize(narrow.groupBy("sha").agg(lead.alias("lead"), F.count(F.lit(1)).alias("hot_size")), "digests")
+    total = groups.agg(F.sum("hot_size")).first()[0] or 0
+    hot = groups.filter((F.col("hot_size") > 1) & (F.col("hot_size") >= -(-total // HOT_SHARE)))
+    return hot.select("sha", (-F.col("lead.n")).alias("hot_n"), F.col("lead.id").alias("hot_id"), "hot_size")
+
+
+def _sorted_runs(df: DataFrame, id_col: str, text_col: str, payload: str | None = None, field: str = "text") -> DataFrame:
+    """Every row in its run of equal neighbours: ``id, sha, n``, ``fresh`` (it differs from the row
+    before), ``lead`` (the run's first row), the hot group's columns, and the column ``payload``,
+    a struct whose ``field`` is the text, where one is named (the text is then shuffled within it)."""
+    hot = F.broadcast(_hot_groups(df, id_col, text_col))
+    salts = max(SALTS, shuffle_partitions(df.sparkSession))
+    rows = df.select(F.col(id_col).alias("id"), whole(text_col).alias("t"), *([payload] if payload else []))
+    rows = rows.select("*", F.char_length("t").alias("n"), normalised("t").alias("norm"))
+    rows = rows.select("*", F.substring("norm", 1, HEAD).alias("head"), F.sha2("norm", 256).alias("sha")).drop("t", *(["norm"] if payload else []))
+    salt = F.when(F.col("hot_size").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(salts)).cast("int"))
+    placed = rows.join(hot, "sha", "left").withColumn("salt", salt).repartitionByRange("head", "sha", "salt")
+    if payload:
+        placed = placed.withColumn("norm", normalised(F.col(f"{payload}.`{field}`")))
     run = Window.partitionBy("head", "sha", "salt").orderBy("norm", F.desc("n"), F.asc_nulls_last("id"))
-    placed = rows.repartitionByRange("head", "sha", "salt")
     before = F.lag("norm").over(run)
-    return placed.withColumn("first", before.isNull() | (before != F.col("norm"))).select("id", "sha", "salt", "n", "first", F.row_number().over(run).alias("place"))
+    lead = F.first(F.struct("id", "n")).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.withColumn("fresh", before.isNull() | (before != F.col("norm"))).withColumn("lead", lead).drop("norm")
+
+
+def _stays() -> Column:
+    hot = F.col("id").eqNullSafe(F.col("hot_id")) & (F.col("n") == F.col("hot_n"))
+    return F.col("fresh") & (F.col("hot_size").isNull() | hot)
 
 
 def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, keep_id, group_size, kept, text_sha256`` for every row of ``df``."""
-    runs = materialize(content_runs(df, id_col, text_col), "runs")
-    leader = F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("no_id"), F.col("id"), F.col("salt"))
-    groups = materialize(
-        runs.groupBy("sha").agg(F.min(F.when(F.col("first"), leader)).alias("lead"), F.count(F.lit(1)).alias("group_size")).select("sha", "group_size", F.col("lead.id").alias("keep_id"), F.col("lead.salt").alias("keep_salt"), F.col("group_size").alias("rows")),
-        "groups",
-    )
-    joined = join_lookup(runs, groups, "sha", "rows", runs.count())
-    kept = F.col("first") & F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("salt") == F.col("keep_salt"))
-    return joined.select("id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    rows = _sorted_runs(df, id_col, text_col)
+    size = F.count(F.lit(1)).over(Window.partitionBy("head", "sha", "salt"))
+    keep_id = F.when(F.col("hot_size").isNull(), F.col("lead.id")).otherwise(F.col("hot_id"))
+    out = rows.withColumn("size", size)
+    return out.select("id", keep_id.alias("keep_id"), F.coalesce("hot_size", "size").alias("group_size"), _stays().alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns. Rows that share id and content are one
-    document, of which one row stays."""
-    names = df.columns
-    found = duplicates(df, id_col, text_col).filter("kept").select(F.col("id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"), F.lit(True).alias("_keep"))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_col).alias("_id"), F.sha2(normalised(text_col), 256).alias("_sha"), F.char_length(whole(text_col)).alias("_n"))
-    stay = rows.join(found, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")), "left_semi")
-    once = Window.partitionBy("_sha", "_id").orderBy(F.desc("_n"))
-    return stay.withColumn("_at", F.row_number().over(once)).filter("_at = 1").select("_row.*")
+    """The rows of ``df`` that stay, with all their columns."""
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return _sorted_runs(packed, "_id", "_text", "_row", text_col).filter(_stays()).select("_row.*")
