@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import os
 import re
 from collections.abc import Iterable, Iterator
 from struct import pack
@@ -73,6 +74,7 @@ class ByteBpe:
     _cut = re.compile(r"(?= [^\W_])")
 
     def __init__(self, raw: bytes, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallelism
         import tiktoken
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
@@ -112,9 +114,13 @@ class ByteBpe:
             pass
         missing = list(set(chunks).difference(self.cache))
         learned = self._learn(missing)
-        if len(self.cache) < CACHE_ENTRIES:  # the frequent chunks come early; what comes after is not kept
-            self.cache.update((k, v) for k, v in learned.items() if len(k) <= LONGEST_CACHED)
-        return b"".join(learned[x] if x in learned else self.cache[x] for x in chunks)
+        full = len(self.cache) >= CACHE_ENTRIES  # the frequent chunks come early; what comes after is not kept
+        self.cache.update(learned)
+        out = b"".join(map(self.cache.__getitem__, chunks))
+        for x in missing:
+            if full or len(x) > LONGEST_CACHED:
+                del self.cache[x]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_raw(text), dtype="<u4")

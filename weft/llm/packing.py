@@ -17,6 +17,7 @@ one; special-token strings inside a text are ordinary text; an empty table gives
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from bisect import bisect_right, insort
@@ -45,6 +46,7 @@ class WordEncoder:
     _latin = re.compile(r"[^\x00-ɏ]")
 
     def __init__(self, raw: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
@@ -63,9 +65,13 @@ class WordEncoder:
             pass
         missing = list(set(chunks).difference(self.cache))
         learned = {c: pack(f"<{len(ids)}I", *ids) for c, ids in zip(missing, (e.ids for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)))}
-        if len(self.cache) < CACHE_ENTRIES:  # the frequent chunks come early; what comes after is not kept
-            self.cache.update((k, v) for k, v in learned.items() if len(k) <= LONGEST_CACHED)
-        return b"".join(learned[x] if x in learned else self.cache[x] for x in chunks)
+        full = len(self.cache) >= CACHE_ENTRIES  # the frequent chunks come early; what comes after is not kept
+        self.cache.update(learned)
+        out = b"".join(map(self.cache.__getitem__, chunks))
+        for x in missing:
+            if full or len(x) > LONGEST_CACHED:
+                del self.cache[x]
+        return out
 
 
 def encoder(raw: bytes) -> WordEncoder:
