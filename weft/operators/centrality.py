@@ -71,6 +71,7 @@ def pagerank(g: PropertyGraph, damping: float = 0.85, iterations: int = 100) ->
     scale = 1.0 / seen["total"] if iterations and seen["total"] > 0 else 1.0
     out = g.nodes.select("id", "ord").join(state.select(F.col("a").alias("ord"), (F.col("rank") * scale).alias("score")), "ord").select("id", "ord", "score")
     edges.unpersist()
+    nodes.unpersist()
     return out
 
 
@@ -92,8 +93,8 @@ def eigenvector_centrality(g: PropertyGraph, iterations: int = 100, tolerance: f
         change = max(0.0, (norm * scale) ** 2 - 2 * scale * (seen["xy"] or 0.0) + (seen["xx"] or 0.0)) ** 0.5
         if change < tolerance and (change == 0.0 or raw.agg(F.sqrt(F.sum((F.col("y") * scale - F.col("x")) ** 2))).first()[0] < tolerance):
             break
-    out = g.nodes.select("id", "ord").join(state.select(F.col("a").alias("ord"), F.col("x").alias("score")), "ord").select("id", "ord", "score")
-    return out
+    edges.unpersist()
+    return g.nodes.select("id", "ord").join(state.select(F.col("a").alias("ord"), F.col("x").alias("score")), "ord").select("id", "ord", "score")
 
 
 def walks(g: PropertyGraph, sources: DataFrame | None = None, keep_counts: bool = True) -> list[DataFrame]:
@@ -107,6 +108,7 @@ def walks(g: PropertyGraph, sources: DataFrame | None = None, keep_counts: bool
         step = levels[-1].join(edges, "a").groupBy("s", F.col("b").alias("a")).agg(F.sum("n").alias("n")).join(seen, ["s", "a"], "left_anti")
         new, count = written(step, "level", n=F.count(F.lit(1)))
         if not count["n"]:
+            edges.unpersist()
             return levels
         levels.append(new)
         seen = seen.unionByName(new.select("s", "a"))
@@ -132,6 +134,7 @@ def betweenness_centrality(g: PropertyGraph, normalized: bool = True) -> DataFra
         if depth:
             part = above.filter("d > 0").groupBy("a").agg(F.sum("d").alias("d"))
             total = part if total is None else total.unionByName(part)
+    back.unpersist()
     scale = 1.0 if g.directed else 0.5
     if normalized:
         scale /= (n - 1) * (n - 2) * (1.0 if g.directed else 0.5)
