@@ -647,3 +647,85 @@ def gexf_round_trip(spark, sf):
 def trace_graph(spark, sf):
     g = tables.spans_to_graph(star.event_spans(spark, sf))
     return g.edges.select("src", "dst", P.string(F.col("props")["type"]).alias("type"))
+
+
+@query(_CORE + "SELECT src, dst, 'urn:star:' || type AS predicate, type FROM edges")
+def load_turtle(spark, sf):
+    g, _ = rdf.load_rdf(spark, rdf.to_turtle(_core(spark, sf)), "turtle")
+    return g.edges.select("src", "dst", P.string(F.col("props")["predicate"]).alias("predicate"), F.regexp_extract(P.string(F.col("props")["label"]), "[^:]*$", 0).alias("type"))
+
+
+@query(_CORE + "SELECT src, dst FROM edges")
+def load_trig(spark, sf):
+    g, _ = rdf.load_rdf(spark, "<urn:g> {\n" + rdf.to_turtle(_core(spark, sf)) + "}", "trig")
+    return _edges(g)
+
+
+@query(_CORE + "SELECT count(*) AS triples, (SELECT count(*) FROM nodes) AS nodes, count(*) AS edges, 0::BIGINT AS literals FROM edges")
+def rdf_stats(spark, sf):
+    _, seen = rdf.load_rdf(spark, rdf.to_ntriples(_core(spark, sf)), "ntriples")
+    return _one(spark, triples=seen.triples, nodes=seen.nodes, edges=seen.edges, literals=seen.literals)
+
+
+@query(_CORE + """SELECT '{"@id":"' || src || '","urn:star:hasNation":' || CASE WHEN count(*) = 1 THEN min('{"@id":"' || dst || '"}') ELSE '[' || string_agg('{"@id":"' || dst || '"}', ',' ORDER BY ord) || ']' END || '}' AS value
+FROM edges JOIN nodes ON dst = id GROUP BY src UNION ALL SELECT '{"@id":"' || dst || '"}' FROM edges""")
+def to_jsonld(spark, sf):
+    return rdf.jsonld_nodes(_core(spark, sf)).select("value")
+
+
+@query(_CORE + """SELECT 'flowchart LR' AS line UNION ALL SELECT '    ' || replace(id, ':', '_') || '["' || id || '"]' FROM nodes UNION ALL SELECT '    ' || replace(src, ':', '_') || ' --> ' || replace(dst, ':', '_') FROM edges""")
+def to_mermaid(spark, sf):
+    text = documents.to_mermaid(_core(spark, sf), direction="LR")
+    return spark.createDataFrame([(x,) for x in text.splitlines()], "line string")
+
+
+@query(_CORE + "SELECT src, dst, type FROM edges")
+def adjacency_round_trip(spark, sf):
+    g = documents.from_adjacency_json(spark, documents.to_adjacency_json(_core(spark, sf)))
+    return g.edges.select("src", "dst", P.string(F.col("props")["type"]).alias("type"))
+
+
+@query(GEO + "SELECT id, type, balance FROM nodes")
+def storage_round_trip(spark, sf):
+    from weft.runtime import scratch_path
+
+    root = scratch_path(spark, "store")
+    tables.save(geo(spark, sf), root, "geo")
+    return tables.load(spark, root, "geo").nodes.select("id", P.string(F.col("props")["type"]).alias("type"), P.number(F.col("props")["balance"]).alias("balance"))
+
+
+@query(GEO + "SELECT id, type FROM nodes WHERE type = 'region' AND id <> 'r:0' UNION ALL SELECT 'r:0', 'x'")
+def set_node_property(spark, sf):
+    g = mutate.set_node_property(geo(spark, sf), "r:0", "type", "x")
+    return g.nodes.filter("id LIKE 'r:%'").select("id", P.string(F.col("props")["type"]).alias("type"))
+
+
+@query(_with("rnsco", _DEG) + "SELECT count(*) AS node_count, (SELECT count(*) FROM edges) AS edge_count, round(avg(i + o), 4) AS avg_degree, max(i + o) AS max_degree FROM deg")
+def graph_stats(spark, sf):
+    g = hier(spark, sf)
+    return g.degrees().agg(F.count(F.lit(1)).alias("node_count"), F.round(F.avg("degree"), 4).alias("avg_degree"), F.max("degree").alias("max_degree")).withColumn("edge_count", F.lit(g.n_edges()))
+
+
+@query(GEO + "SELECT (SELECT count(*) FROM nodes WHERE type = 'nation') AS nodes, (SELECT count(*) FROM edges WHERE type = 'hasNation') AS edges")
+def find_patterns(spark, sf):
+    g = geo(spark, sf)
+    return _one(spark, nodes=g.filter_nodes(type="nation").count(), edges=g.filter_edges(type="hasNation").count())
+
+
+@query(GEO_REACH + "SELECT b AS id FROM reach WHERE a = 'r:0' AND d <= 2 UNION SELECT 'r:0'")
+def ego_graph_of_two(spark, sf):
+    return transform.ego_graph(geo(spark, sf), "r:0", 2).nodes.select("id")
+
+
+@query(GEO_REACH + "SELECT CAST(d AS DOUBLE) AS hops FROM reach WHERE a = 'r:0' AND b = (SELECT min(b) FROM reach WHERE a = 'r:0' AND d = 2)")
+def shortest_path_length(spark, sf):
+    g = geo(spark, sf)
+    far = traversal.bfs_at_depth(g, "r:0", 2).agg(F.min("id")).first()[0]
+    return _one(spark, hops=paths.shortest_path_length(g, "r:0", far))
+
+
+@query(GEO + "SELECT count(*) AS nodes, (SELECT count(*) FROM edges) AS edges, true AS directed, false AS multi FROM nodes")
+def reverse_twice(spark, sf):
+    g = transform.reverse(transform.reverse(geo(spark, sf)))
+    same = g.edges.join(geo(spark, sf).edges, ["src", "dst"], "left_semi").count()
+    return _one(spark, nodes=g.n_nodes(), edges=same, directed=g.directed, multi=g.multi)
