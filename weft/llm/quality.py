@@ -2,7 +2,8 @@
 
 Heuristic labellers vote junk, clean or abstain on every document. Expectation-maximisation
 estimates the accuracy of each labeller and the share of junk from the counts of vote patterns over
-all documents (a few hundred patterns, counted by a group-by). Posteriors of the patterns then train
+all documents (a few hundred patterns, counted by a group-by), with a prior that labellers are better
+than chance. Posteriors of the patterns then train
 a hashed linear scorer on token shapes; it sees up to ``SAMPLE`` documents, chosen by a hash of the
 id. The final score of a document adds the posterior log-odds of its votes to the scorer's.
 
@@ -30,7 +31,9 @@ BUCKETS = 4096
 SAMPLE = 20_000
 JUNK, CLEAN, ABSTAIN = 1, -1, 0
 THRESHOLD = 0.5
-LABELLERS = ("symbols", "shouting", "separators", "repeats", "wordless", "variety")
+LABELLERS = ("symbols", "shouting", "separators", "repeats", "wordless", "variety", "function_words")
+#: Share of the documents that the prior trust in each labeller counts as.
+TRUST = 0.1
 
 _NOISE = re.compile(r"[^\w\s.,;:!?'\"()-]{2,}(?=\s|$)")
 _SHOUT = re.compile(r"\S!!(?=\s|$)")
@@ -41,31 +44,36 @@ _SHAPES = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"))
 
 
 def measures(text: str) -> tuple[float, ...]:
-    """Shares of the words that are noise, shouted, separators or repeats, and the share distinct."""
+    """Words; shares of them that are noise, shouted, separators or repeats; the share distinct and
+    the share of short plain ones."""
     words = text.split()
     n = len(words)
     if not n:
-        return 0.0, 0.0, 0.0, 0.0, 0.0, 1.0
+        return 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0
     noise = len(_NOISE.findall(text)) / n if any(c in text for c in "*#$&%@~^=<>|\\") else 0.0
     shout = (text.count("!!") + sum(w.isupper() and len(w) > 1 for w in words)) / (2 * n)
     bars = sum(map(words.count, ("|", "•", "·", "»", ">"))) / n
     repeats = sum(a == b for a, b in zip(words, words[1:])) / n
-    return float(n), noise, shout, bars, repeats, len(set(words)) / n
+    small = sum(len(w) <= 3 and w.isalpha() for w in words) / n
+    return float(n), noise, shout, bars, repeats, len(set(words)) / n, small
 
 
 def votes(text: str) -> tuple[int, ...]:
-    n, noise, shout, bars, repeats, variety = measures(text)
-    pick = lambda x, junk, clean: JUNK if x >= junk else CLEAN if x <= clean else ABSTAIN
+    n, noise, shout, bars, repeats, variety, small = measures(text)
+    # Shares say little about a few words: a junk vote needs some hits as well.
+    pick = lambda x, junk, clean: (JUNK if x * n >= 4 else ABSTAIN) if x >= junk else CLEAN if x <= clean else ABSTAIN
     if not n:
-        return ABSTAIN, ABSTAIN, ABSTAIN, ABSTAIN, JUNK, ABSTAIN
-    letters = sum(map(str.isalpha, text[:: max(1, len(text) // 2000)])) / len(text[:: max(1, len(text) // 2000)])  # an even spread over the whole text
+        return ABSTAIN, ABSTAIN, ABSTAIN, ABSTAIN, JUNK, ABSTAIN, ABSTAIN
+    spread = text[:: max(1, len(text) // 2000)]  # even over the whole text
+    solid = sum(map(str.isalnum, spread)) / len(spread)
     return (
         pick(noise, 0.1, 0.03),
         pick(shout, 0.15, 0.05),
         pick(bars, 0.1, 0.03),
         pick(repeats, 0.15, 0.05),
-        JUNK if letters < 0.5 else CLEAN if letters > 0.7 else ABSTAIN,
+        JUNK if solid < 0.5 else CLEAN if solid > 0.7 else ABSTAIN,
         ABSTAIN if n < 40 else JUNK if variety < min(0.2, 8 / n**0.5) else CLEAN if variety > 0.4 else ABSTAIN,
+        ABSTAIN if n < 12 else JUNK if small < 0.06 else CLEAN if small > 0.15 else ABSTAIN,
     )
 
 
@@ -96,33 +104,36 @@ def features(text: str, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LabelModel:
-    """Accuracies of labellers that may abstain, by expectation-maximisation over vote patterns."""
+    """Accuracies of labellers that may abstain, by expectation-maximisation over vote patterns.
 
-    def __init__(self, patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100):
+    An abstention says nothing: it enters neither the likelihood nor the accuracies, so a labeller's
+    propensity to vote (long documents, say) cannot become the latent class. ``TRUST`` adds votes in
+    favour of each labeller, so that one junk vote can outweigh others that look for other junk.
+    """
+
+    def __init__(self, patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200):
         votes = np.array([p for p, _ in patterns], dtype=np.int64).reshape(len(patterns), -1)
         count = np.array([n for _, n in patterns], dtype=np.float64)
-        kinds = (JUNK, ABSTAIN, CLEAN)
-        hit = np.stack([votes == k for k in kinds], axis=2).astype(np.float64)  # pattern, labeller, vote
-        # A start that trusts every labeller a little: one junk vote outweighs silence of the others.
-        junk = np.where((votes == JUNK).any(axis=1), 0.8, 0.02)
+        hit = np.stack([votes == JUNK, votes == CLEAN], axis=2).astype(np.float64)  # pattern, labeller, vote
+        extra = np.array([[TRUST, 0.0], [0.0, TRUST]]) * count.sum()  # class, vote
+        junk = np.where((votes == JUNK).any(axis=1), 0.9, 0.02)
         self.history: list[float] = []
         for _ in range(rounds):
             weight = np.stack([count * junk, count * (1 - junk)])
             self.prior = (weight.sum(axis=1) + 1) / (weight.sum() + 2)
-            table = np.einsum("cp,plv->clv", weight, hit) + 0.5
+            table = np.einsum("cp,plv->clv", weight, hit) + 0.5 + extra[:, None, :] * self.prior[:, None, None]
             self.table = table / table.sum(axis=2, keepdims=True)  # class, labeller, vote
             like = np.einsum("plv,clv->pc", hit, np.log(self.table)) + np.log(self.prior)
             top = like.max(axis=1, keepdims=True)
             self.history.append(float((count * (top[:, 0] + np.log(np.exp(like - top).sum(axis=1)))).sum()))
             junk = 1 / (1 + np.exp(np.clip(like[:, 1] - like[:, 0], -60, 60)))
-            if len(self.history) > 1 and self.history[-1] - self.history[-2] < 1e-6 * max(1.0, count.sum()):
+            if len(self.history) > 1 and abs(self.history[-1] - self.history[-2]) < 1e-7 * max(1.0, count.sum()):
                 break
 
     def log_odds(self, vote: tuple[int, ...]) -> float:
         """Log-odds of junk."""
-        at = [(JUNK, ABSTAIN, CLEAN).index(v) for v in vote]
         ratio = np.log(self.table[0]) - np.log(self.table[1])
-        return float(np.log(self.prior[0] / self.prior[1]) + sum(ratio[i, k] for i, k in enumerate(at)))
+        return float(np.log(self.prior[0] / self.prior[1]) + sum(ratio[i, 0 if v == JUNK else 1] for i, v in enumerate(vote) if v != ABSTAIN))
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 5, rate: float = 0.5, ridge: float = 1e-4) -> np.ndarray:
@@ -139,7 +150,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 5, rat
 
 
 def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id, votes, quality, keep`` (and the columns ``keep``); quality is the probability of clean."""
+    """``id, votes, quality_score, keep`` (and the columns ``keep``); the score is the probability of clean."""
     spark = df.sparkSession
     ship(spark)
     rows = df.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
@@ -170,7 +181,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
 
     everything = df.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), *keep)
     fields = [everything.schema[c] for c in ("id", *keep)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", votes string, quality double, keep boolean"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", votes string, quality_score double, keep boolean"
 
     def judge(batches):
         cache: dict[str, int] = {}
@@ -184,7 +195,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
                 v.append(own)
                 q.append(1 / (1 + np.exp(np.clip(z, -60, 60))))
             out = [batch.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(v, pa.string()), pa.array(q, pa.float64()), pa.array([x >= threshold for x in q], pa.bool_())], [*(f.name for f in fields), "votes", "quality", "keep"])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(v, pa.string()), pa.array(q, pa.float64()), pa.array([x >= threshold for x in q], pa.bool_())], [*(f.name for f in fields), "votes", "quality_score", "keep"])
 
     return everything.mapInArrow(judge, schema)
 
