@@ -21,6 +21,8 @@ another; repeated rows belong to one component; an empty table gives an empty re
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +36,8 @@ SHINGLE = 3
 SEED = 42
 BUCKET = 4096
 PIVOTS = 16
+#: For near copies by similarity: 64-bit words of a fingerprint, and words of its shingles.
+WORDS, WIDE_SHINGLE = 8, 2
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -68,16 +72,17 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
+def pivots(n: int = PIVOTS, words: int = 1) -> np.ndarray:
     """Reference fingerprints, drawn once with a fixed seed."""
-    return np.random.default_rng(SEED).integers(0, 2**64, n, dtype=np.uint64)
+    return np.random.default_rng(SEED).integers(0, 2**64, (n, words), dtype=np.uint64)
 
 
 def links(fps: np.ndarray, bucket: np.ndarray, bits: int = BITS, refs: np.ndarray | None = None):
     """Yield index pairs of fingerprints of one bucket at ``bits`` or fewer differing bits, in parts."""
-    refs = pivots() if refs is None else refs
-    table = np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int16)
-    place = np.unique(bucket, return_inverse=True)[1] * 1024 + table[:, 0]  # by bucket, then by the first distance
+    fps = fps.reshape(len(fps), -1)  # a row a fingerprint, a column for each 64 bits
+    refs = pivots(words=fps.shape[1]) if refs is None else refs
+    table = np.stack([np.bitwise_count(fps ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
+    place = np.unique(bucket, return_inverse=True)[1] * 4096 + table[:, 0]  # by bucket, then by the first distance
     order = np.argsort(place, kind="stable")
     fps, table, place = fps[order], table[order], place[order]
     count = np.searchsorted(place, place + bits, side="right") - np.arange(len(fps)) - 1
@@ -94,7 +99,7 @@ def links(fps: np.ndarray, bucket: np.ndarray, bits: int = BITS, refs: np.ndarra
                 break
             near = np.abs(table[i, k] - table[j, k]) <= bits
             i, j = i[near], j[near]
-        near = np.bitwise_count(fps[i] ^ fps[j]) <= bits
+        near = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64) <= bits
         yield order[i[near]], order[j[near]]
         at = stop
 
@@ -118,56 +123,80 @@ def _blocks(free: list[int], parts: int) -> list[list[int]]:
     return [x.tolist() for x in np.array_split(np.array(free), parts)]
 
 
-def bucket_links(classes: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
-    """A spanning forest of the links in each bucket: ``u, v`` of distinct fingerprints."""
-    refs = pivots()
+def _nested(free: list[int], bits: int) -> list[tuple[int, int, list]]:
+    """Blocks of the free bits of one word, one of which two linked fingerprints must agree in."""
+    out = []
+    for block in np.array_split(np.array(free), bits + 1):
+        mask = sum(1 << int(b) for b in block)
+        out.append((0, mask, [b for b in free if b not in set(block.tolist())]))
+    return out
+
+
+def _bands(free: list[tuple[int, int]]) -> list[tuple[int, int, list]]:
+    """Each band of several words, and the other bands after it."""
+    return [(word, mask, [x for x in free if x != (word, mask)]) for word, mask in free]
+
+
+def bucket_links(classes: DataFrame, bits: int = BITS, bucket: int = BUCKET, lanes: tuple[str, ...] = ("fp",), node: str = "fp", choose=None, start: list | None = None) -> DataFrame:
+    """A spanning forest of the links in each bucket: ``u, v`` of the column ``node``.
+
+    ``choose`` lists the blocks (word, mask, what is free afterwards) that a bucket is divided by;
+    by default those of a single word in which linked fingerprints must agree.
+    """
+    refs = pivots(words=len(lanes))
+    spark = classes.sparkSession
+    choose = choose or (lambda free: _nested(free, bits))
     names = ["u", "v"]
 
-    def solve(codes: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        unsigned, root = fps.view(np.uint64), np.arange(len(fps))
-        for i, j in links(unsigned, codes, bits, refs):
+    def solve(codes: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        root = np.arange(len(nodes))
+        for i, j in links(fps.view(np.uint64), codes, bits, refs):
             root = forest(root, i, j)
-        off = root != np.arange(len(fps))
-        return pa.RecordBatch.from_arrays([pa.array(fps[off]), pa.array(fps[root[off]])], names)
+        off = root != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[off]), pa.array(nodes[root[off]])], names)
 
     def run(batches):
         """Batches come sorted by bucket; whole buckets are solved, the last of a batch waits."""
-        codes, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        codes, nodes, fps = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(lanes)), np.int64)
         for batch in batches:
             codes = np.concatenate([codes, batch.column("code").to_numpy()])
-            fps = np.concatenate([fps, batch.column("fp").to_numpy()])
+            nodes = np.concatenate([nodes, batch.column("node").to_numpy()])
+            fps = np.concatenate([fps, np.stack([batch.column(f"w{k}").to_numpy() for k in range(len(lanes))], axis=1)])
             last = np.searchsorted(codes, codes[-1]) if len(codes) else 0
             if last:
-                yield solve(codes[:last], fps[:last])
-                codes, fps = codes[last:], fps[last:]
-        yield solve(codes, fps)
+                yield solve(codes[:last], nodes[:last], fps[:last])
+                codes, nodes, fps = codes[last:], nodes[last:], fps[last:]
+        yield solve(codes, nodes, fps)
 
-    spark = classes.sparkSession
+    words = [f"w{k}" for k in range(len(lanes))]
 
-    def divide(rows: DataFrame, free_of: dict[str, list[int]]) -> tuple[DataFrame, dict[str, list[int]]]:
-        """Each row once for every block of its free bits, with a code of all it agrees in so far."""
+    def divide(rows: DataFrame, free_of: dict[str, list]) -> tuple[DataFrame, dict[str, list]]:
+        """Each row once for every block of its path, with a code of all it agrees in so far."""
         after, choices = {}, []
         for path, free in free_of.items():
-            for k, block in enumerate(np.array_split(np.array(free), bits + 1)):
-                mask, name = sum(1 << int(b) for b in block), f"{path}{k}"
-                after[name] = [b for b in free if b not in set(block.tolist())]
-                choices.append((path, name, mask - (1 << 64) if mask >> 63 else mask))
-        blocks = F.broadcast(spark.createDataFrame(choices, "path string, name string, mask long"))  # (bits + 1) ** depth rows at most, whatever the data
-        part = F.xxhash64("code", "name", F.col("fp").bitwiseAND(F.col("mask")))
-        return rows.join(blocks, "path").select("fp", F.col("name").alias("path"), part.alias("code")), after
-
-    rows, free_of = divide(classes.select("fp", F.lit("").alias("path"), F.lit(0).cast("long").alias("code")), {"": list(range(64))})
+            for k, (word, mask, rest) in enumerate(choose(free)):
+                name = f"{path}.{k}"
+                after[name] = rest
+                choices.append((path, name, word, mask - (1 << 64) if mask >> 63 else mask))
+        blocks = F.broadcast(spark.createDataFrame(choices, "path string, name string, word int, mask long"))  # choices of blocks: few, whatever the data
+        part = F.xxhash64("code", "name", F.element_at(F.array(*words), F.col("word") + 1).bitwiseAND(F.col("mask")))
+        return rows.join(blocks, "path").select("node", *words, F.col("name").alias("path"), part.alias("code")), after
+
+    first = classes.select(F.col(node).alias("node"), *[F.col(c).alias(w) for c, w in zip(lanes, words)], F.lit("").alias("path"), F.lit(0).cast("long").alias("code"))
+    rows, free_of = divide(first, {"": list(range(64)) if start is None else start})
     found = None
     while True:
         rows = materialize(rows, "buckets")
         large = materialize(rows.groupBy("path", "code").count().filter(F.col("count") > bucket).select("path", "code"), "large")
         paths = sorted(r[0] for r in large.select("path").distinct().collect())  # choices of blocks, not data
-        fit = rows.join(large, ["path", "code"], "left_anti") if paths else rows
-        own = fit.select("code", "fp").repartition("code").sortWithinPartitions("code").mapInArrow(run, "u long, v long")
+        dead = [p for p in paths if not free_of[p]]  # nothing left to divide by: solved as they are
+        fit = rows.join(large.filter(~F.col("path").isin(dead)) if dead else large, ["path", "code"], "left_anti") if paths else rows
+        own = fit.select("code", "node", *words).repartition("code").sortWithinPartitions("code").mapInArrow(run, "u long, v long")
         found = own if found is None else found.unionByName(own)
+        paths = [p for p in paths if p not in dead]
         if not paths:
             return found.distinct()
-        rows, free_of = divide(rows.join(large, ["path", "code"], "left_semi"), {p: free_of[p] for p in paths})
+        rows, free_of = divide(rows.join(large, ["path", "code"], "left_semi").filter(F.col("path").isin(paths)), {p: free_of[p] for p in paths})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,21 +222,94 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
-    """``id, fingerprint, component_id`` for every row of ``df``."""
-    docs = materialize(fingerprints(df, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    classes = materialize(docs.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
-    found = components(bucket_links(classes, bits, bucket))
-    placed = materialize(classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", "rows", F.coalesce("root", "fp").alias("root")), "placed")
+def _named(docs: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``docs`` with ``component_id``: ``docs(id, node, ...)``, ``classes(node, rep, rows)``."""
+    found = components(edges)
+    placed = materialize(classes.join(found, "node", "left").select("node", "rep", "rows", F.coalesce("root", "node").alias("root")), "placed")
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    named = materialize(join_lookup(placed, least, "root", "n", placed.count()).select("fp", "component_id", "rows"), "named")
-    out = join_lookup(docs, named, "fp", "rows", docs.count())
-    return out.select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = materialize(join_lookup(placed, least, "root", "n", placed.count()).select("node", "component_id", "rows"), "named")
+    return join_lookup(docs, named, "node", "rows", docs.count())
+
+
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
+    """``id, fingerprint, component_id`` for every row of ``df``: fingerprints of 64 bits that differ
+    in at most ``bits`` are linked, all of them."""
+    docs = materialize(fingerprints(df, id_col=id_col, text_col=text_col, shingle=shingle).withColumnRenamed("fp", "node"), "fingerprints")
+    classes = materialize(docs.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    out = _named(docs, classes, bucket_links(classes, bits, bucket, ("node",), "node"))
+    return out.select("id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# -- near copies by similarity ---------------------------------------------------------------------
+
+
+def wide_fingerprint(text: str, seeds: np.ndarray, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """One 64-bit fingerprint for each seed, over hashes of the same shingles."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode().translate(_LOWER).split()
+    if not words:
+        return np.zeros(len(seeds), np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(words) - shingle + 1)
+    stops = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
+    base = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops.tolist())], dtype=np.uint64)
+    out = np.zeros(len(seeds), np.uint64)
+    for k, seed in enumerate(seeds):  # a second mixing of the hash for each word of the fingerprint
+        h = (base ^ seed) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        count = np.zeros(64, np.int64)
+        for at in range(0, n, 255):  # sums of up to 255 bits fit a byte
+            count += np.unpackbits(h[at : at + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+        out[k] = np.packbits(2 * count > n, bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def reach_of(similarity: float, words: int = WORDS) -> int:
+    """Differing bits up to which two documents may have that Jaccard similarity of five-word shingles.
+
+    A share f of changed shingles gives a similarity of (1 - f) / (1 + f); the edits behind it change
+    2/5 f of the two-word shingles, so fingerprints differ in a share acos(1 - 2/5 f) / pi of their
+    bits, and two standard deviations more are allowed.
+    """
+    f = (1 - similarity) / (1 + similarity)
+    share = math.acos(1 - f * WIDE_SHINGLE / 5) / math.pi
+    n = 64 * words
+    return math.ceil(n * share + 2 * math.sqrt(n * share * (1 - share)))
+
+
+def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = WORDS, bucket: int = BUCKET) -> DataFrame:
+    """``id, component_id`` for every row: documents whose five-word shingles have that Jaccard
+    similarity or more are linked.
+
+    Fingerprints of ``64 * words`` bits estimate the similarity. Two meet where they agree in one of
+    their ``4 * words`` bands of 16 bits, so a link can be missed: recall is measured in the tests.
+    """
+    ship(df.sparkSession)
+    limit = reach_of(similarity, words)
+    rows = df.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
+    lanes = [f"w{k}" for k in range(words)]
+
+    def run(batches):
+        seeds = pivots(1, words)[0]
+        for batch in batches:
+            own = np.array([wide_fingerprint(t.as_py(), seeds) for t in batch.column("text")], dtype=np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(np.ascontiguousarray(own[:, k])) for k in range(words))], ["id", *lanes])
+
+    prints = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{w} long" for w in lanes))
+    docs = materialize(prints.withColumn("node", F.xxhash64(*lanes)), "fingerprints")
+    classes = materialize(docs.groupBy("node").agg(*[F.min(w).alias(w) for w in lanes], F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    bands = [(k, 0xFFFF << shift) for k in range(words) for shift in (0, 16, 32, 48)]
+    edges = bucket_links(classes, limit, bucket, tuple(lanes), "node", _bands, bands)
+    return _named(docs.select("id", "node"), classes.select("node", "rep", "rows"), edges).select("id", "component_id")
 
 
-def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose id names their component (or whose component has no id)."""
-    found = near_duplicates(df, id_col=id_col, text_col=text_col, **options).filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_keep_id"))
+def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, **options) -> DataFrame:
+    """The rows of ``df`` whose id names their component of near copies (or whose component has no id)."""
+    found = near_copies(df, id_col=id_col, text_col=text_col, similarity=similarity, **options).filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_keep_id"))
     names = df.columns
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_col).alias("_id"))
     return rows.join(found, F.col("_id").eqNullSafe(F.col("_keep_id")), "left_semi").select("_row.*")
