@@ -243,3 +243,16 @@ def test_numbering_and_props(spark):
         from weft.sources import documents
 
         documents.from_json(spark, "[]")
+
+
+def test_scratch_is_cleaned(spark):
+    from weft import runtime
+
+    kept = runtime.materialize(spark.range(5), "mine")
+    folder = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    import os
+
+    assert os.path.isdir(folder)
+    runtime._SCRATCH[:] = [p for p in runtime._SCRATCH if "weft-mine-" in p]
+    runtime.clean(spark)
+    assert not os.path.isdir(folder)

@@ -17,6 +17,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SCRATCH: list[str] = []
 #: Arrow batches to Python workers hold so many bytes at most, however long the texts.
 ARROW_BYTES = "4m"
 
@@ -33,7 +34,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/weft-{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/weft-{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every scratch table of this process. Results that are not written yet need theirs, so
+    call this once they are."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _SCRATCH:
+        path = hadoop(_SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
