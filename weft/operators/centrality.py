@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.graph import PropertyGraph
+from weft.operators import small
 from weft.plans.fixpoint import written
 from weft.runtime import discard, materialize, shuffle_partitions
 
@@ -48,7 +49,10 @@ def pagerank(g: PropertyGraph, damping: float = 0.85, iterations: int = 100) ->
     n = g.n_nodes()
     if n == 0:
         return g.nodes.select("id", "ord", F.lit(0.0).alias("score"))
-    pairs = g.indexed(symmetric=False).select("a", "b")
+    pairs, seen = written(g.indexed(symmetric=False).select("a", "b"), "rank-edges", n=F.count(F.lit(1)))
+    if small.fits(seen["n"] + n):
+        found = small.one_task([pairs, g.nodes.select(F.col("ord").alias("a"))], small.pagerank(damping, iterations), "ord long, score double")
+        return g.nodes.select("id", "ord").join(found, "ord").select("id", "ord", "score")
     edges = _kept(pairs, "a")
     ways = edges.groupBy("a").agg(F.count(F.lit(1)).alias("ways"))
     spark = g.nodes.sparkSession
@@ -81,7 +85,11 @@ def eigenvector_centrality(g: PropertyGraph, iterations: int = 100, tolerance: f
     n = g.n_nodes()
     if n == 0:
         return g.nodes.select("id", "ord", F.lit(0.0).alias("score"))
-    edges = _kept(g.indexed().select("a", "b"), "a")
+    pairs, seen = written(g.indexed().select("a", "b"), "eigen-edges", n=F.count(F.lit(1)))
+    if small.fits(seen["n"] + n):
+        found = small.one_task([pairs, g.nodes.select(F.col("ord").alias("a"))], small.eigenvector(iterations, tolerance), "ord long, score double")
+        return g.nodes.select("id", "ord").join(found, "ord").select("id", "ord", "score")
+    edges = _kept(pairs, "a")
     state = materialize(g.nodes.select(F.col("ord").alias("a"), F.lit(1.0 / n**0.5).alias("x")), "eigen")
     for _ in range(iterations):
         got = edges.join(state, "a").groupBy("b").agg(F.sum("x").alias("y")).withColumnRenamed("b", "a")

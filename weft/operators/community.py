@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weft.errors import LimitExceededError
 from weft.graph import PropertyGraph
+from weft.operators import small
 from weft.operators.components import connected_components, min_labels
 from weft.operators.kernels import louvain_kernel
 from weft.operators.structure import maximal_cliques
@@ -19,7 +20,10 @@ from weft.settings import DEFAULTS
 def label_propagation(g: PropertyGraph, max_rounds: int = 100) -> DataFrame:
     """``id, ord, label``: synchronous rounds over distinct neighbours of either direction; a node
     keeps its label where that is among the most frequent, else takes the smallest of these."""
-    edges = materialize(g.indexed(symmetric=True).select("a", "b").filter("a <> b").distinct(), "lpa-edges")
+    edges, seen = written(g.indexed(symmetric=True).select("a", "b").filter("a <> b").distinct(), "lpa-edges", n=F.count(F.lit(1)))
+    if small.fits(seen["n"] + g.n_nodes()):
+        found = small.one_task([edges, g.nodes.select(F.col("ord").alias("a"))], small.propagate(max_rounds), "ord long, label long")
+        return g.nodes.select("id", "ord").join(found, "ord").select("id", "ord", "label")
     state = materialize(g.nodes.select(F.col("ord").alias("a"), F.col("ord").alias("label")), "labels")
     for _ in range(max_rounds):
         votes = edges.join(state.withColumnRenamed("a", "b"), "b").groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.graph import PropertyGraph
+from weft.operators import small
 from weft.operators.traversal import reach
 from weft.plans.fixpoint import written
 from weft.runtime import materialize
@@ -22,11 +23,13 @@ def min_labels(edges: DataFrame) -> DataFrame:
     count = F.count(F.lit(1))
     mix = F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))
     rows, mark = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star", n=count, h=mix)
+    if small.fits(mark["n"]):
+        return small.one_task([rows.select(F.col("u").alias("a"), F.col("v").alias("b"))], small.min_labels, "a long, component long")
     while mark["n"]:
         both = rows.unionByName(rows.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = materialize(star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
-        small = star(large).select("u", F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("e"))
-        rows, now = written(small.select(F.col("e.x").alias("u"), F.col("e.y").alias("v")).filter("u <> v").distinct(), "small-star", n=count, h=mix)
+        shallow = star(large).select("u", F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("e"))
+        rows, now = written(shallow.select(F.col("e.x").alias("u"), F.col("e.y").alias("v")).filter("u <> v").distinct(), "small-star", n=count, h=mix)
         if now == mark:
             break
         mark = now
@@ -66,7 +69,9 @@ def strong_labels(edges: DataFrame) -> DataFrame:
     (the largest node that reaches a node) spread forward, and within a colour what reaches its root
     backward is one component.
     """
-    live = materialize(edges.filter("a <> b").select("a", "b").distinct(), "scc-edges")
+    live, seen = written(edges.filter("a <> b").select("a", "b").distinct(), "scc-edges", n=F.count(F.lit(1)))
+    if small.fits(seen["n"]):
+        return small.one_task([live], small.strong_labels, "a long, component long")
     done = None
     while True:
         while True:  # trim

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weft.errors import WeightError
 from weft.functions import props as P
 from weft.graph import PropertyGraph
+from weft.operators import small
 from weft.plans.fixpoint import written
 from weft.runtime import materialize
 
@@ -15,7 +16,10 @@ from weft.runtime import materialize
 def peel(g: PropertyGraph) -> tuple[DataFrame, int]:
     """``a, level`` of the nodes that Kahn's peeling removes, and how many it cannot."""
     left, seen = written(g.nodes.select(F.col("ord").alias("a")), "left", n=F.count(F.lit(1)))
-    edges = materialize(g.indexed().select("a", "b"), "dag-edges")
+    edges, own = written(g.indexed().select("a", "b"), "dag-edges", n=F.count(F.lit(1)))
+    if small.fits(own["n"] + seen["n"]):
+        found, seen = written(small.one_task([edges, left], small.peel, "a long, level long"), "levels", n=F.sum((F.col("level") < 0).cast("long")))
+        return found.filter("level >= 0"), seen["n"] or 0
     out, level, rest = None, 0, seen["n"]
     while rest:
         heads = edges.select(F.col("b").alias("a")).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.graph import PropertyGraph
+from weft.operators import small
 from weft.operators.components import strongly_connected_components
 from weft.operators.kernels import cycle_kernel, per_component
 from weft.operators.traversal import reach
@@ -20,7 +21,10 @@ def relax(edges: DataFrame, source: int, max_rounds: int | None = None) -> tuple
     Only nodes whose cost fell in the last round send on; ties go to the smaller predecessor.
     """
     spark = edges.sparkSession
-    edges = materialize(edges.groupBy("a", "b").agg(F.min("w").alias("w")), "weights")
+    edges, seen = written(edges.groupBy("a", "b").agg(F.min("w").alias("w")), "weights", n=F.count(F.lit(1)), low=F.min("w"))
+    if small.fits(seen["n"]) and (max_rounds is not None or (seen["low"] or 0.0) >= 0.0):
+        found = materialize(small.one_task([edges], small.relax(source, max_rounds or seen["n"] + 2), "a long, cost double, via long, open boolean"), "costs")
+        return found.select("a", "cost", F.when(F.col("via") >= 0, F.col("via")).alias("via")), not found.filter("open").limit(1).count()
     state = materialize(spark.createDataFrame([(source, 0.0, None, True)], "a long, cost double, via long, fresh boolean"), "costs")
     turn = 0
     while max_rounds is None or turn < max_rounds:

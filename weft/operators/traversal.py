@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.graph import PropertyGraph
+from weft.operators import small
 from weft.operators.kernels import dfs_kernel, per_component
 from weft.plans.fixpoint import written
 from weft.runtime import materialize
@@ -17,7 +18,9 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
     A round joins the frontier alone to the edges; the nodes seen so far grow by a union of written
     tables, and a round's new nodes are the frontier's targets that are not among them.
     """
-    edges = materialize(edges.select("a", "b").filter("a <> b").distinct(), "reach-edges")
+    edges, seen = written(edges.select("a", "b").filter("a <> b").distinct(), "reach-edges", n=F.count(F.lit(1)))
+    if small.fits(seen["n"]) and dict(edges.dtypes)["a"] == "bigint":
+        return small.one_task([edges, seeds.select("a")], small.reach(max_depth), "a long, depth long")
     frontier, seen = written(seeds.select("a").distinct().withColumn("depth", F.lit(0).cast("long")), "frontier", n=F.count(F.lit(1)))
     visited, depth = frontier, 0
     while seen["n"] and (max_depth is None or depth < max_depth):
