@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import whole
-from weft.runtime import materialize, ship
+from weft.runtime import ship
 
 BUCKETS = 4096
 #: Documents that the scorer is trained on, at most (expected; chosen by a hash of the id).
@@ -149,25 +149,43 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 5, rat
     return w
 
 
-def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id, votes, quality_score, keep`` (and the columns ``keep``); the score is the probability of clean."""
-    spark = df.sparkSession
-    ship(spark)
+class Judge:
+    """A fitted classifier: vote pattern and probability of clean for a text. Small enough to go
+    with a task: odds of at most ``3 ** len(LABELLERS)`` patterns and ``BUCKETS`` weights."""
+
+    def __init__(self, odds: dict[str, float], weights: np.ndarray):
+        self.odds, self.weights, self.cache = odds, weights, {}
+
+    def __getstate__(self):
+        return self.odds, self.weights
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def __call__(self, text: str) -> tuple[str, float]:
+        own = ",".join(map(str, votes(text)))
+        at, x = features(text, self.cache)
+        z = self.odds.get(own, 0.0) + float(self.weights[at] @ x)
+        return own, float(1 / (1 + np.exp(np.clip(z, -60, 60))))
+
+
+def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Judge:
+    """Votes of all documents, accuracies from their patterns, and the scorer from a sample."""
+    ship(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
 
     def vote(batches):
         for batch in batches:
             own = [",".join(map(str, votes(t.as_py()))) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own, pa.string())], ["id", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], ["votes"])
 
-    voted = materialize(rows.mapInArrow(vote, f"id {rows.schema['id'].dataType.simpleString()}, votes string"), "votes")
-    counted = voted.groupBy("votes").count().collect()  # at most 3 ** len(LABELLERS) patterns
+    counted = rows.select("text").mapInArrow(vote, "votes string").groupBy("votes").count().collect()  # at most 3 ** len(LABELLERS) patterns
     total = sum(r["count"] for r in counted)
-    model = LabelModel(sorted((tuple(map(int, r["votes"].split(","))), r["count"]) for r in counted)) if counted else None
-    odds = {r["votes"]: model.log_odds(tuple(map(int, r["votes"].split(",")))) for r in counted}
-
+    pattern = lambda r: tuple(map(int, r["votes"].split(",")))
+    model = LabelModel(sorted((pattern(r), r["count"]) for r in counted)) if counted else None
+    odds = {r["votes"]: model.log_odds(pattern(r)) for r in counted}
     share = min(1.0, sample / max(1, total))
-    chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 40)) < int(share * (1 << 40)))
+    chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 40)) < int(share * (1 << 40))).select("text")
 
     def shapes(batches):
         cache: dict[str, int] = {}
@@ -177,31 +195,30 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
 
     got = chosen.mapInArrow(shapes, "at array<long>, x array<double>, votes string").collect() if total else []
     examples = sorted(((np.array(r["at"]), np.array(r["x"]), 1 / (1 + np.exp(-odds[r["votes"]]))) for r in got), key=lambda e: (e[0].tobytes(), e[1].tobytes()))
-    weights = train(examples)
+    return Judge(odds, train(examples))
 
-    everything = df.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), *keep)
-    fields = [everything.schema[c] for c in ("id", *keep)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", votes string, quality_score double, keep boolean"
 
-    def judge(batches):
-        cache: dict[str, int] = {}
+def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """``id, votes, quality_score, keep`` for every row; the score is the probability of clean."""
+    judge = fit(df, id_col=id_col, text_col=text_col, sample=sample)
+    rows = df.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            own = [judge(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([v for v, _ in own], pa.string()), pa.array([q for _, q in own], pa.float64()), pa.array([q >= threshold for _, q in own], pa.bool_())], ["id", "votes", "quality_score", "keep"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, votes string, quality_score double, keep boolean")
+
+
+def clean_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df`` that the classifier keeps, with all their columns; each text goes to a
+    worker and back once."""
+    judge = fit(df, id_col=id_col, text_col=text_col, sample=sample)
+    at = df.columns.index(text_col)
+
+    def run(batches):
         for batch in batches:
-            v, q = [], []
-            for value in batch.column("text"):
-                text = value.as_py()
-                own = ",".join(map(str, votes(text)))
-                at, x = features(text, cache)
-                z = odds.get(own, 0.0) + float(weights[at] @ x)
-                v.append(own)
-                q.append(1 / (1 + np.exp(np.clip(z, -60, 60))))
-            out = [batch.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(v, pa.string()), pa.array(q, pa.float64()), pa.array([x >= threshold for x in q], pa.bool_())], [*(f.name for f in fields), "votes", "quality_score", "keep"])
-
-    return everything.mapInArrow(judge, schema)
-
-
-def clean_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that the classifier keeps, with all their columns."""
-    names = df.columns
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return score(rows, id_col="_id", text_col="_text", keep=("_row",), **options).filter("keep").select("_row.*")
+            yield batch.filter(pa.array([judge(t.as_py() or "")[1] >= threshold for t in batch.column(at)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
