@@ -27,6 +27,7 @@ from weft.llm.common import whole
 from weft.runtime import ship
 
 BUCKETS = 4096
+CACHE_ENTRIES = 150_000
 #: Documents that the scorer is trained on, at most (expected; chosen by a hash of the id).
 SAMPLE = 20_000
 JUNK, CLEAN, ABSTAIN = 1, -1, 0
@@ -95,7 +96,7 @@ def features(text: str, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         if k is None:
             kind = shape(word) + ("U" if word.isupper() and len(word) > 1 else "")
             k = zlib.crc32(kind.encode()) % (BUCKETS - 8) + 8
-            if len(cache) < 300_000:
+            if len(cache) < CACHE_ENTRIES:
                 cache[word] = k
         at[k] += n
     at[1] = sum(a == b for a, b in zip(words, words[1:]))

@@ -87,10 +87,10 @@ def links(fps: np.ndarray, bucket: np.ndarray, bits: int = BITS, refs: np.ndarra
     fps, table, place = fps[order], table[order], place[order]
     count = np.searchsorted(place, place + bits, side="right") - np.arange(len(fps)) - 1
     done = np.cumsum(count)
-    at = 0
-    while at < len(fps):  # rows whose windows hold about two million pairs
+    at, room = 0, 2_000_000 // fps.shape[1]
+    while at < len(fps):  # rows whose windows hold so many pairs
         past = done[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(done, past + 2_000_000, side="right")))
+        stop = max(at + 1, int(np.searchsorted(done, past + room, side="right")))
         own = count[at:stop]
         i = np.repeat(np.arange(at, stop), own)
         j = np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own) + i + 1
