@@ -262,6 +262,16 @@ def test_classifier_edges(spark):
     assert quality.score(frame.limit(0)).count() == 0 and quality.clean_documents(frame.limit(0)).count() == 0
 
 
+def test_wordless_vote_reads_the_whole_text():
+    """Fixed-width lines, where a stride meets the same column every time."""
+    for text in ("a---" * 1000, "é---" * 1000, "-aaa" * 1000, "-éaa" * 1000, "ab_ ²٣漢字🙂\n" * 900):
+        share = sum(map(str.isalnum, text)) / len(text)
+        assert quality.votes(text)[4] == (quality.JUNK if share < 0.5 else quality.CLEAN if share > 0.7 else quality.ABSTAIN)
+        assert quality.alphanumerics(text) == sum(map(str.isalnum, text))
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    assert quality.alphanumerics(every) == sum(map(str.isalnum, every))
+
+
 # -- queries and pipeline ------------------------------------------------------------------------------
 
 

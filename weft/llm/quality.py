@@ -41,6 +41,8 @@ _SHOUT = re.compile(r"\S!!(?=\s|$)")
 _BAR = re.compile(r"(?:^|\s)[|•·»>](?=\s|$)")
 _STUTTER = re.compile(r"(?:^|(?<=\s))(\S+)(?=\s+\1(?:\s|$))")
 _UPPER = re.compile(r"\b[^\W\d_]{2,}\b")
+_SOLID = re.compile(r"[^\W_]+")
+_BLANKS = bytes(b for b in range(128) if not chr(b).isalnum())
 _SHAPES = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"))
 
 
@@ -59,14 +61,18 @@ def measures(text: str) -> tuple[float, ...]:
     return float(n), noise, shout, bars, repeats, len(set(words)) / n, small
 
 
+def alphanumerics(text: str) -> int:
+    """Characters for which ``isalnum`` holds, over the whole text."""
+    return len(text.encode().translate(None, _BLANKS)) if text.isascii() else sum(map(len, _SOLID.findall(text)))
+
+
 def votes(text: str) -> tuple[int, ...]:
     n, noise, shout, bars, repeats, variety, small = measures(text)
     # Shares say little about a few words: a junk vote needs some hits as well.
     pick = lambda x, junk, clean: (JUNK if x * n >= 4 else ABSTAIN) if x >= junk else CLEAN if x <= clean else ABSTAIN
     if not n:
         return ABSTAIN, ABSTAIN, ABSTAIN, ABSTAIN, JUNK, ABSTAIN, ABSTAIN
-    spread = text[:: max(1, len(text) // 2000)]  # even over the whole text
-    solid = sum(map(str.isalnum, spread)) / len(spread)
+    solid = alphanumerics(text) / len(text)
     return (
         pick(noise, 0.1, 0.03),
         pick(shout, 0.15, 0.05),
