@@ -297,3 +297,39 @@ def test_near_copies_by_similarity(spark):
     assert simhash.near_copies(frame.limit(0)).count() == 0
     small = {r["id"]: r["component_id"] for r in simhash.near_copies(frame, bucket=3).collect()}
     assert sum(small[a] == small[b] for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def _copies(shape, share, pairs, seed):
+    """Pairs of a text and its copy, edited in one shape over that share of the words, and their
+    similarity in five-word shingles."""
+    draw = random.Random(seed)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(3, 8))) for _ in range(4000)]
+    fresh = lambda n: [draw.choice(words) for _ in range(n)]
+    texts, alike = [], []
+    for _ in range(pairs):
+        a = fresh(draw.randint(200, 600))
+        n = int(share * len(a))
+        at = draw.randrange(len(a) - n)
+        b = a + fresh(n) if shape == "appended" else a[:-n] if shape == "truncated" else a[:at] + fresh(n) + a[at + n :]
+        texts += [" ".join(a), " ".join(b)]
+        x, y = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (a, b))
+        alike.append(len(x & y) / len(x | y))
+    return texts, alike
+
+
+def _roots(spark, texts, **options):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["id"]: r["component_id"] for r in simhash.near_copies(frame, **options).collect()}
+    return [got[k] for k in range(len(texts))]
+
+
+def test_near_copies_of_any_shape(spark):
+    """Every pair at 0.8 or more is linked, whether text was added, cut off or replaced in one block."""
+    texts, alike = [], []
+    for seed, (shape, share) in enumerate((("appended", 0.22), ("truncated", 0.17), ("replaced", 0.085))):
+        more, own = _copies(shape, share, 50, seed)
+        texts, alike = texts + more, alike + own
+    root = _roots(spark, texts)
+    linked = [root[2 * k] == root[2 * k + 1] for k in range(len(alike))]
+    assert all(0.78 < x < 0.86 for x in alike) and sum(x >= 0.8 for x in alike) > 100
+    assert linked == [x >= 0.8 for x in alike]
