@@ -333,3 +333,20 @@ def test_near_copies_of_any_shape(spark):
     linked = [root[2 * k] == root[2 * k + 1] for k in range(len(alike))]
     assert all(0.78 < x < 0.86 for x in alike) and sum(x >= 0.8 for x in alike) > 100
     assert linked == [x >= 0.8 for x in alike]
+
+
+def test_near_copies_leave_clean_documents(spark):
+    """Pairs below 0.8 stay apart, though most of their words are the same."""
+    draw, texts, alike = random.Random(5), [], []
+    words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(3, 8))) for _ in range(4000)]
+    for k in range(60):
+        a = [draw.choice(words) for _ in range(400)]
+        b = list(a)
+        for at in range(7, 400, 12 + k % 12):  # scattered single words
+            b[at] = "zz"
+        x, y = ({tuple(t[i : i + 5]) for i in range(396)} for t in (a, b))
+        texts += [" ".join(a), " ".join(b)]
+        alike.append(len(x & y) / len(x | y))
+    root = _roots(spark, texts)
+    assert max(alike) < 0.8 and min(alike) > 0.35 and sum(x > 0.6 for x in alike) > 10
+    assert root == list(range(len(texts)))
