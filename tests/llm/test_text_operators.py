@@ -350,3 +350,22 @@ def test_near_copies_leave_clean_documents(spark):
     root = _roots(spark, texts)
     assert max(alike) < 0.8 and min(alike) > 0.35 and sum(x > 0.6 for x in alike) > 10
     assert root == list(range(len(texts)))
+
+
+def test_near_copies_in_large_buckets(spark):
+    """Links of a hot group that shares long passages are the same in blocks of any size, and those
+    of brute force; some do not go through the smallest member of their bucket."""
+    draw = random.Random(3)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(3, 8))) for _ in range(4000)]
+    passage, texts = [draw.choice(words) for _ in range(150)], []
+    for _ in range(60):  # members are about 0.6 alike, each with a copy at about 0.82
+        own = passage + [draw.choice(words) for _ in range(50)]
+        texts += [" ".join(own), " ".join(own[:182] + [draw.choice(words) for _ in range(18)])]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for t in texts]
+    want = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                want = [min(want[a], want[b]) if w in (want[a], want[b]) else w for w in want]
+    assert len(set(want)) == 60
+    assert _roots(spark, texts, bucket=3) == _roots(spark, texts) == want
