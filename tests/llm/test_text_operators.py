@@ -203,6 +203,27 @@ def test_redaction(spark):
     assert done[2]["text"] is None and done[3]["text"] == "clean 12" and done[4]["text"] == "" and done[5]["text"] == f"bad {BAD_CARD}"
 
 
+def test_many_matches_in_one_text(spark):
+    """Long texts with many matches of one or several kinds: spans, order and redaction by brute force."""
+    draw = random.Random(4)
+    bits = ["a@b.cd ", "+49 30 1234567;", f"{LUHN_CARD}, ", "é1.2.3.4 ", "12,", "漢🙂", " x "]
+    rows = [(1, "a@b.cd,é" * 100_000), (2, "12," * 100_000), (3, "".join(draw.choice(bits) for _ in range(30_000)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["id"]: r for r in pii.digest(frame).collect()}
+    done = {r["doc_id"]: r["text"] for r in pii.redact(frame).collect()}
+    for k, text in rows:
+        spans = base_spans(text)
+        listing = ",".join(f"{kind}:{a}:{b}" for kind in BASE for a, b in spans[kind])
+        assert got[k]["base_sha256"] == hashlib.sha256(listing.encode()).hexdigest() and got[k]["spans"].startswith(listing)
+        assert [got[k][f"n_{kind}"] for kind in BASE] == [len(spans[kind]) for kind in BASE]
+        every = sorted((int(a), int(b), kind) for kind, a, b in (x.split(":") for x in got[k]["spans"].split(",") if x))
+        out, at = [], 0
+        for a, b, kind in every:
+            out += [] if a < at else [text[at:a], f"[{kind.upper()}]"]
+            at = max(at, b)
+        assert done[k] == "".join(out) + text[at:]
+
+
 def plain_fingerprint(text):
     from xxhash import xxh64_intdigest
 

@@ -5,7 +5,9 @@ the others), and words near a span adjust its score. Positions come from splitti
 pattern: the lengths of the gaps and of the matches add up to code-point offsets. The patterns are
 written so that Java's matcher neither recurses nor retries inside a run (possessive groups; a match
 begins at a run's first character or where the last match ended), which leaves their matches as they
-are and keeps very long texts linear.
+are and keeps very long texts linear. So are the steps after it: running sums and extremes go by
+blocks of about the square root of the spans (:func:`_running`), pieces of a text are cut from its
+``PIECE``-long parts instead of its start, and overlaps come from one sorted sweep.
 
 Base kinds: email, ip, card, phone; all are kept as they match. Added kinds: iban (mod-97), and
 spans that only context confirms — short_card (13 to 15 digits, Luhn, a card word near) and
@@ -48,7 +50,9 @@ CONTEXT = {
 }
 #: Score without and with a context word; spans that only context confirms need the latter.
 SCORES = {"email": (0.9, 0.95), "ip": (0.7, 0.9), "card": (0.9, 0.99), "phone": (0.7, 0.9), "iban": (0.95, 0.99), "short_card": (0.0, 0.8), "local_phone": (0.0, 0.7)}
-SPAN = "struct<start:int,text:string>"
+#: A text is cut from parts of so many code points.
+PIECE = 512
+FAR = 2**31 - 1
 
 
 def _digits(x: Column) -> Column:
@@ -87,39 +91,95 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _located(gaps: Column, found: Column) -> Column:
-    """Matches with their offsets in code points: a running sum over gaps and matches."""
-    step = lambda a, x: F.struct((a.at + F.char_length(x.gap) + F.char_length(x.hit)).alias("at"), F.concat(a.out, F.array(F.struct((a.at + F.char_length(x.gap)).alias("start"), x.hit.alias("text")))).alias("out"))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), step, lambda a: a.out)
+def _running(rows: DataFrame, sources: dict[str, Column], join, zero: int) -> DataFrame:
+    """``rows`` with a column for each of ``sources`` (arrays of int): at each place ``join`` over the
+    elements before it. Two passes over blocks, so that no array is copied once an element."""
+    kept, new = rows.columns, list(sources)
+    ints = F.array().cast("array<int>")
+    start = lambda: F.struct(F.lit(zero).alias("at"), ints.alias("out"))
+    append = lambda a, x, y: F.struct(join(a.at, y).alias("at"), F.concat(a.out, F.array(x)).alias("out"))
+    rows = rows.select(*kept, *[c.alias(f"_v_{n}") for n, c in sources.items()])
+    rows = rows.select("*", *[F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(f"_v_{n}"))).cast("int")).alias(f"_b_{n}") for n in new])
+
+    def blocks(n: str) -> Column:
+        values, width = F.col(f"_v_{n}"), F.col(f"_b_{n}")
+        each = F.transform(F.sequence(F.lit(1), F.size(values), width), lambda k: F.aggregate(F.slice(values, k, width), start(), lambda a, x: append(a, a.at, x)))
+        return F.when(F.size(values) > 0, each)
+
+    rows = rows.select(*kept, *[blocks(n).alias(f"_p_{n}") for n in new])
+    rows = rows.select(*kept, *[f"_p_{n}" for n in new], *[F.when(F.col(f"_p_{n}").isNotNull(), F.aggregate(f"_p_{n}", start(), lambda a, x: append(a, a.at, x.at), lambda a: a.out)).alias(f"_o_{n}") for n in new])
+    whole_of = lambda n: F.flatten(F.zip_with(f"_p_{n}", f"_o_{n}", lambda p, o: F.transform(p.out, lambda x: join(o, x))))
+    return rows.select(*kept, *[F.when(F.col(f"_p_{n}").isNotNull(), whole_of(n)).otherwise(ints).alias(n) for n in new])
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _short_cut(pieces: str, at: Column, n: Column) -> Column:
+    """``n`` (up to ``PIECE``) code points of the text from ``at``."""
+    k = F.floor(at / PIECE).cast("int")
+    return F.substring(F.concat(F.coalesce(F.get(pieces, k), F.lit("")), F.coalesce(F.get(pieces, k + 1), F.lit(""))), at % PIECE + 1, n)
+
+
+def _cut(pieces: str, at: Column, end: Column) -> Column:
+    """The code points of the text from ``at`` to ``end``."""
+    first, last = F.floor(at / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+    long = F.concat(F.substring(piece(first), at % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(piece(last), F.lit(1), end % PIECE))
+    return F.when(first == last, F.substring(piece(first), at % PIECE + 1, end - at)).otherwise(long)
+
+
+def _pieces(wanted: Column) -> Column:
+    return F.when(wanted, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), 0)).otherwise(F.array().cast("array<string>"))
 
 
 def find(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id, text, spans`` (and the columns ``keep``): all confirmed spans,
     ``array<struct<kind,start,end,text,score>>``, by kind and start."""
     rows = df.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), *keep)
+    names = rows.columns
     empty = F.array().cast("array<string>")
     hits, gaps = [], []
     for kind, pattern in PATTERNS.items():
         may = F.col("text").contains(NEEDS[kind]) if kind in NEEDS else F.col("text").rlike("[0-9]")
-        hits.append(F.when(may, F.regexp_extract_all("text", F.lit(pattern), 0)).otherwise(empty).alias(f"hit_{kind}"))
+        hits.append(F.when(may, F.regexp_extract_all("text", F.lit(pattern), 0)).otherwise(empty).alias(f"_hit_{kind}"))
     rows = rows.select("*", *hits)
     for kind, pattern in PATTERNS.items():
-        gaps.append(F.when(F.size(f"hit_{kind}") > 0, F.split("text", pattern, -1)).otherwise(empty).alias(f"gap_{kind}"))
-    rows = rows.select("*", *gaps)
-    rows = rows.select("id", "text", *keep, *[F.when(F.size(f"hit_{k}") > 0, _located(F.col(f"gap_{k}"), F.col(f"hit_{k}"))).otherwise(F.array().cast(f"array<{SPAN}>")).alias(f"at_{k}") for k in PATTERNS])
+        some = F.size(f"_hit_{kind}") > 0
+        lengths = F.transform(F.slice(F.split("text", pattern, -1), F.lit(1), F.size(f"_hit_{kind}")), lambda g: F.char_length(g))
+        gaps.append(F.when(some, lengths).otherwise(F.array().cast("array<int>")).alias(f"_gap_{kind}"))
+    rows = rows.select("*", *gaps, _pieces(F.greatest(*[F.size(f"_hit_{k}") for k in PATTERNS]) > 0).alias("_pieces"))
+    rows = _running(rows, {f"_at_{k}": F.zip_with(f"_gap_{k}", f"_hit_{k}", lambda g, h: g + F.char_length(h)) for k in PATTERNS}, _plus, 0)
+    place = lambda k: F.zip_with(F.zip_with(f"_at_{k}", f"_gap_{k}", _plus), f"_hit_{k}", lambda a, h: F.struct(a.alias("start"), h.alias("text")))
+    rows = rows.select(*names, "_pieces", *[place(k).alias(f"_at_{k}") for k in PATTERNS])
 
     def scored(kind: str, source: str) -> Column:
         def one(s):
-            near = F.substring(F.col("text"), F.greatest(s.start + 1 - NEAR, F.lit(1)), F.least(s.start, F.lit(NEAR)))
+            near = _short_cut("_pieces", F.greatest(s.start - NEAR, F.lit(0)), F.least(s.start, F.lit(NEAR)))
             base, more = SCORES[kind]
             return F.struct(F.lit(kind).alias("kind"), s.start.alias("start"), (s.start + F.char_length(s.text)).alias("end"), s.text.alias("text"), F.when(near.rlike(CONTEXT[kind]), more).otherwise(base).alias("score"))
 
-        return F.transform(F.filter(F.col(f"at_{source}"), lambda s: _valid(kind, s.text)), one)
+        return F.transform(F.filter(F.col(f"_at_{source}"), lambda s: _valid(kind, s.text)), one)
+
+    more = F.concat(*[scored(k, "card" if k == "short_card" else k) for k in ADDED])
+    rows = rows.select(*names, F.concat(*[scored(k, k) for k in BASE]).alias("_base"), F.filter(more, lambda s: s.score > 0.5).alias("_more"))
+    return _clear(rows, names)
+
 
-    rows = rows.select("id", "text", *keep, F.concat(*[scored(k, k) for k in BASE]).alias("base"), F.concat(*[scored(k, "card" if k == "short_card" else k) for k in ADDED]).alias("more"))
-    clear = lambda s: (s.score > 0.5) & ((s.kind == "iban") | ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end)))
-    return rows.select("id", "text", *keep, F.when(F.size("more") > 0, F.concat("base", F.filter("more", clear))).otherwise(F.col("base")).alias("spans"))
+def _clear(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``spans``: ``_base`` and those of ``_more`` that meet none of it (IBANs may)."""
+    rank = {k: n for n, k in enumerate(ADDED)}
+    event = lambda added: lambda s: F.struct(s.start.alias("start"), F.lit(added).alias("added"), s.end.alias("end"), (F.coalesce(*[F.when(s.kind == k, n) for k, n in rank.items()]) if added else F.lit(-1)).alias("rank"), s.kind.alias("kind"), s.text.alias("text"), s.score.alias("score"))
+    events = F.array_sort(F.concat(F.transform("_base", event(0)), F.transform("_more", event(1))))
+    rows = rows.select(*names, "_base", F.when((F.size("_more") > 0) & (F.size("_base") > 0), events).otherwise(F.transform("_more", event(1))).alias("_events"))
+    rows = _running(rows, {"_left": F.transform("_events", lambda e: F.when(e.added == 0, e.end).otherwise(0))}, F.greatest, 0)
+    rows = _running(rows, {"_right": F.reverse(F.transform("_events", lambda e: F.when(e.added == 0, e.start).otherwise(FAR)))}, F.least, FAR)
+    sides = F.zip_with("_left", F.reverse("_right"), lambda a, b: F.struct(a.alias("left"), b.alias("right")))
+    free = lambda e, x: F.when((e.added == 1) & ((e.kind == "iban") | ((x.left <= e.start) & (x.right >= e.end))), F.struct(e["rank"].alias("rank"), e.start.alias("start"), e.end.alias("end"), e.kind.alias("kind"), e.text.alias("text"), e.score.alias("score")))
+    rows = rows.select(*names, "_base", F.array_sort(F.filter(F.zip_with("_events", sides, free), lambda s: s.isNotNull())).alias("_more"))
+    back = F.transform("_more", lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"), s.text.alias("text"), s.score.alias("score")))
+    return rows.select(*names, F.concat("_base", back).alias("spans"))
 
 
 def _listing(spans: Column) -> Column:
@@ -142,7 +202,10 @@ def redact(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = find(rows, id_col="_id", text_col="_text", keep=("_row",))
     order = F.array_sort(F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
-    step = lambda a, s: F.when(s.start < a.at, F.struct(F.greatest(a.at, s.end).alias("at"), a.out.alias("out"))).otherwise(F.struct(s.end.alias("at"), F.concat(a.out, F.array(F.substring(F.col("text"), a.at + 1, s.start - a.at), F.concat(F.lit("["), F.upper(s.kind), F.lit("]")))).alias("out")))
-    done = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda a: F.concat(F.array_join(a.out, ""), F.substring(F.col("text"), a.at + 1, F.char_length("text"))))
-    new = F.when(F.size("spans") > 0, done).otherwise(F.col(f"_row.`{text_col}`"))
+    rows = rows.select("text", "_row", order.alias("_spans"), _pieces(F.size("spans") > 0).alias("_pieces"))
+    rows = _running(rows, {"_done": F.transform("_spans", lambda s: s.end)}, F.greatest, 0)
+    part = lambda s, done: F.when(s.start < done, "").otherwise(F.concat(_cut("_pieces", done, s.start), F.lit("["), F.upper(s.kind), F.lit("]")))
+    last = F.greatest(F.element_at("_done", -1), F.element_at("_spans", -1).end)
+    new = F.concat(F.array_join(F.zip_with("_spans", "_done", part), ""), _cut("_pieces", last, F.char_length("text")))
+    new = F.when(F.size("_spans") > 0, new).otherwise(F.col(f"_row.`{text_col}`"))
     return rows.select(*[new.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names])
