@@ -90,7 +90,9 @@ def test_packing_holds_every_id_once(spark, docs):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
+    odd = ["hello <|endoftext|> world", "<|endoftext|>", "a<|startoftext|><|endoftext|>b", "<|ENDOFTEXT|> É", "<|endoftext|", " <|endoftext|>\n" * 50, "é<|endoftext|>\u0301 x"]
+    docs = docs.union(spark.createDataFrame([(20_000 + k, t) for k, t in enumerate(odd)], "doc_id long, text string"))
+    assert len(exact.encode(odd[0], add_special_tokens=False).ids) == 3
     want = sorted(np.array([*exact.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for r in docs.collect())
     got = packing.pack_documents(docs, path).collect()
     sequences, pieces = {}, {}

@@ -1,17 +1,19 @@
 """Hierarchical multi-length packing of documents into training sequences.
 
 Each document's ids (plus an end id) are cut into full windows of the longest tier; what is left is
-routed to the smallest tier it fits. Windows are then made from the longest left-over down: the gap
-of a window is filled with the largest whole piece of a shorter tier that fits, and closed by a cut
-of the smallest piece that is longer. A window therefore ends exactly full, at a tier's length; the
-last left-over of a task is cut at powers of two, which need no padding either. Sequences of one
+routed to the smallest tier it fits (:class:`Tiers`). Tiers are packed from the longest down. A piece
+takes over half of its tier's window (but in the shortest tier), so the gap it leaves is filled from
+shorter tiers: with the longest whole piece that fits, again and again, and closed by a cut of the
+shortest piece that is longer, whose rest is routed anew. A window therefore ends exactly full, at a
+tier's length; the last one of a buffer is cut at powers of two, which need no padding either. Sequences of one
 tier are dealt to step groups of about equal attention cost (the sum of squared piece lengths).
 
 A task packs its own rows, in buffers of a bounded number of tokens, so nothing is shuffled and no
 task holds more than a buffer. Sequence and group ids carry the partition number.
 
 Defined results: a null text is empty and gives the end id alone; repeated rows are packed one by
-one; special-token strings inside a text are ordinary text; an empty table gives no rows.
+one; strings of the file's special tokens inside a text become those tokens' ids, as the library's
+plain ``encode`` does it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import sys
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from struct import pack
 
 import pyarrow as pa
@@ -41,7 +44,12 @@ _MADE: dict = {}
 
 
 class WordEncoder:
-    """A tokenizers file whose pieces never span white space; chunks between it are cached as ids."""
+    """A tokenizers file whose pieces never span white space; chunks between it are cached as ids.
+
+    Strings of the file's added tokens become their ids where they stand in a text, as the library
+    does it: a text is cut at them before anything else, and only what lies between is ordinary. A
+    file whose added tokens strip space, want word ends or are normalised is given whole texts.
+    """
 
     _latin = re.compile(r"[^\x00-ɏ]")
 
@@ -49,13 +57,27 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallelism
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_str(raw.decode())
         self.tokenizer = Tokenizer.from_str(raw.decode())
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # of ordinary parts: lower case may make such a string
+        added = self.whole.get_added_tokens_decoder()
+        self.added = {t.content: pack("<I", i) for i, t in added.items()}
+        self.plain = all(t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in added.values())
+        self.at = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.lower = self.tokenizer.encode("Word Ñ", add_special_tokens=False).ids == self.tokenizer.encode("word ñ", add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {"": b""}
 
     def encode_raw(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if not self.plain:
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+            return pack(f"<{len(ids)}I", *ids)
+        if self.at and any(map(text.__contains__, self.added)):
+            parts = self.at.split(text)
+            return b"".join(self.added[part] if k % 2 else self._ordinary(part) for k, part in enumerate(parts))
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         if self.lower and not self._latin.search(text):  # no combining marks: case first changes nothing
             text = text.lower()
         chunks = text.replace("\n", " ").split(" ")
@@ -81,48 +103,86 @@ def encoder(raw: bytes) -> WordEncoder:
     return _MADE[key]
 
 
+Piece = tuple[int, int, int]  # length, document, start
+
+
+class Tiers:
+    """Left-overs by the smallest tier that holds them, each tier sorted by length."""
+
+    def __init__(self, tiers: tuple[int, ...], pieces: list[Piece]):
+        self.tiers = tiers
+        self.pools: list[list[Piece]] = [[] for _ in tiers]
+        for piece in pieces:
+            self.pools[self.route(piece[0])].append(piece)
+        for pool in self.pools:
+            pool.sort()
+
+    def route(self, length: int) -> int:
+        return bisect_left(self.tiers, length)
+
+    def add(self, piece: Piece) -> None:
+        insort(self.pools[self.route(piece[0])], piece)
+
+    def fitting(self, gap: int) -> Piece | None:
+        """The longest piece that fits the gap, from the gap's own tier or the next shorter ones."""
+        for tier in range(self.route(gap), -1, -1):
+            k = bisect_right(self.pools[tier], (gap, sys.maxsize, 0))
+            if k:
+                return self.pools[tier].pop(k - 1)
+        return None
+
+    def longer(self, gap: int) -> Piece | None:
+        """The shortest piece that is longer than the gap; none shorter is left when this is asked."""
+        return next((pool.pop(0) for pool in self.pools[self.route(gap) :] if pool), None)
+
+
 def pack_lengths(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[tuple[int, int, int]]]]:
     """Sequences ``(window, [(document, start, length), ...])`` that hold every token once."""
     longest = tiers[-1]
     out: list[tuple[int, list[tuple[int, int, int]]]] = []
-    pool: list[tuple[int, int, int]] = []  # (length, document, start), sorted
+    left_over: list[Piece] = []
     for doc, n in enumerate(lengths):
         for at in range(0, n - longest + 1, longest):
             out.append((longest, [(doc, at, longest)]))
         if n % longest:
-            pool.append((n % longest, doc, n - n % longest))
-    pool.sort()
-    while pool:
-        n, doc, at = pool.pop()
-        window = next(t for t in tiers if t >= n)
-        row, gap = [(doc, at, n)], window - n
-        while gap and pool:
-            k = bisect_right(pool, (gap, float("inf"), 0))
-            if k:
-                n, doc, at = pool.pop(k - 1)
-                row.append((doc, at, n))
-                gap -= n
-            else:
-                n, doc, at = pool.pop(0)
-                row.append((doc, at, gap))
-                insort(pool, (n - gap, doc, at + gap))
-                gap = 0
-        if gap == 0:
-            out.append((window, row))
-            continue
-        left = window - gap  # the last of the buffer: cut at powers of two
-        while row:
-            window = 1 << (left.bit_length() - 1)
-            part, room = [], window
-            while room:
-                doc, at, n = row.pop(0)
-                if n > room:
-                    row.insert(0, (doc, at + room, n - room))
-                    n = room
-                part.append((doc, at, n))
-                room -= n
-            out.append((window, part))
-            left -= window
+            left_over.append((n % longest, doc, n - n % longest))
+    routed = Tiers(tiers, left_over)
+    for tier in range(len(tiers) - 1, -1, -1):
+        window = tiers[tier]
+        while routed.pools[tier]:
+            n, doc, at = routed.pools[tier].pop()
+            row, gap = [(doc, at, n)], window - n
+            while gap:
+                if piece := routed.fitting(gap):
+                    n, doc, at = piece
+                    row.append((doc, at, n))
+                    gap -= n
+                elif piece := routed.longer(gap):
+                    n, doc, at = piece
+                    row.append((doc, at, gap))
+                    routed.add((n - gap, doc, at + gap))
+                    gap = 0
+                else:
+                    break
+            out += [(window, row)] if not gap else _by_powers(row, window - gap)
+    return out
+
+
+def _by_powers(row: list[tuple[int, int, int]], total: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """The last, unfilled window of a buffer, cut at powers of two."""
+    out = []
+    while row:
+        window = 1 << (total.bit_length() - 1)
+        part, room = [], window
+        while room:
+            doc, at, n = row.pop(0)
+            if n > room:
+                row.insert(0, (doc, at + room, n - room))
+                n = room
+            part.append((doc, at, n))
+            room -= n
+        out.append((window, part))
+        total -= window
     return out
 
 
