@@ -58,7 +58,13 @@ def test_byte_bpe_is_what_tiktoken_gives(spark, docs):
     for row in docs.collect():
         text = row["text"] or ""
         ids = exact.encode_ordinary(text)
-        want.append((row["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+        ends = np.cumsum([len(exact.decode_single_token_bytes(i)) for i in ids], dtype=np.int64) if ids else np.zeros(0, np.int64)
+        inside = np.array([b & 0xC0 == 0x80 for b in text.encode()] + [False], dtype=bool)
+        char = np.cumsum(~inside) - 1  # the character that each byte belongs to
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ids)]
+        spans = np.concatenate([char[starts], char[ends] + inside[ends]]) if ids else starts
+        digest = lambda x: hashlib.sha256(x).hexdigest()
+        want.append((row["doc_id"], len(ids), digest(np.array(ids, "<u4").tobytes()), digest(text.encode()), digest(spans.astype("<i4").tobytes())))
     got = bpe.round_trip(docs, path, public_tokenizers.PATTERN).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     coded = bpe.encode(docs, path, public_tokenizers.PATTERN)
@@ -70,17 +76,27 @@ def test_byte_bpe_is_what_tiktoken_gives(spark, docs):
 
 
 def test_split_characters_and_offsets():
+    import tiktoken
+
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         own = bpe.ByteBpe(f.read(), public_tokenizers.PATTERN)
+    exact = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
     draw = random.Random(3)
     for _ in range(1500):
         text = "".join(draw.choice(" \n\t\x00\x1c ab'sé1漢🙂.,-_THE") for _ in range(draw.randint(0, 30)))
         ids = own.encode(text)
-        assert ids.tolist() == own.check.encode_ordinary(text)
+        assert ids.tolist() == exact.encode_ordinary(text)
         assert own.decode(ids) == text and "".join(own.decode_stream([[i] for i in ids])) == text
         starts, ends = own.offsets(text, ids)
         for i, a, b in zip(ids, starts, ends):
             assert own.bytes_of[i] in text[a:b].encode()
+    tokens = [t.decode() for t in own.ranks if len(t) > 1 and t.isascii()]
+    for _ in range(3000):  # runs of tokens, which merge in other ways
+        text = "".join(draw.choices(tokens, k=draw.randint(1, 6)))
+        assert own.encode(text).tolist() == exact.encode_ordinary(text)
+    for base in range(0, 0x110000, 64):  # the classes of every code point
+        text = "".join(f"a{c}1{c} {c}.{c}{c}\n" for c in map(chr, range(base, base + 64)) if not "\ud800" <= c < "\ue000")
+        assert own.tokenizer.encode(text, add_special_tokens=False).ids == exact.encode_ordinary(text)
     assert own.decode([own.ranks[b"\xe6"]]) == "�"
     assert len(set(bpe.byte_table())) == 256
 

@@ -2,12 +2,19 @@
 
 A text is cut where no match of the pre-tokenisation pattern can span (before a single space that
 starts a word); every distinct chunk is encoded once per worker by the library and its ids are kept
-as little-endian bytes, so a text costs one dictionary look-up a chunk. Chunks are checked against
-the rank-order merge (tiktoken) as they enter the cache; where the two differ the rank order wins.
+as little-endian bytes, so a text costs one dictionary look-up a chunk.
 
-Offsets need no second pass: every id stands for a fixed byte string, so byte offsets are a running
-sum of lengths and character offsets count the UTF-8 lead bytes before them. A token that starts or
-ends inside a character gets the offsets of that character.
+The library's model is made from the rank file: each byte becomes its printable character, and each
+token's merge is the pair that is left of its bytes after all merges of a lower rank. No other pair
+can ever form the token (a merge across its borders would have removed them for good), and a match
+that is a token as a whole is taken unmerged, so ids are those of the rank-order merge; tests compare
+them with tiktoken, also for every code point.
+
+Decoding looks up each id's characters in the library's vocabulary and reverses the byte table; the
+table from ids to bytes is made once a worker. Offsets need no second pass: every id stands for a
+fixed byte string, so byte offsets are a running sum of lengths and character offsets count the UTF-8
+lead bytes before them. A token that starts or ends inside a character gets the offsets of that
+character.
 
 Defined results: null text is the empty text; the empty text has no ids; invalid id sequences decode
 with U+FFFD for the broken bytes; decoding a split character across chunks of ids waits for its
@@ -75,30 +82,24 @@ class ByteBpe:
 
     def __init__(self, raw: bytes, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallelism
-        import tiktoken
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         self.ranks = read_ranks(raw)
         chars = byte_table()
         show = lambda b: "".join(chars[x] for x in b)
-        model = models.BPE(vocab={show(k): v for k, v in self.ranks.items()}, merges=[(show(a), show(b)) for a, b in merges_of(self.ranks)])
+        model = models.BPE(vocab={show(k): v for k, v in self.ranks.items()}, merges=[(show(a), show(b)) for a, b in merges_of(self.ranks)], ignore_merges=True)
         self.tokenizer = Tokenizer(model)
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.check = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+        byte_of = {c: b for b, c in enumerate(chars)}
         self.bytes_of: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.bytes_of[rank] = token
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes_of[i] = bytes(map(byte_of.__getitem__, token))
         self.lengths = np.array([len(x) for x in self.bytes_of], dtype=np.int64)
         self.cache: dict[str, bytes] = {"": b""}
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        out = {}
-        for chunk, got in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
-            ids = got.ids
-            if ids != (exact := self.check.encode_ordinary(chunk)):
-                ids = exact
-            out[chunk] = pack(f"<{len(ids)}I", *ids)
-        return out
+        done = (x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False))
+        return {chunk: pack(f"<{len(ids)}I", *ids) for chunk, ids in zip(chunks, done)}
 
     def chunks(self, text: str) -> list[str]:
         if self._odd.search(text):
@@ -199,19 +200,22 @@ def decode(df: DataFrame, vocab: str, pattern: str, *, id_col: str = "id", ids_c
 
 
 def round_trip(df: DataFrame, vocab: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every whole text, decode the ids, and return digests of both:
-    ``id, n_tokens, ids_sha256, decoded_sha256``."""
-    rows, raw = _prepare(df, id_col, text_col, vocab)
+    """Encode every whole text, decode the ids, and return digests of both and of the offsets (all
+    starts, then all ends, as little-endian 32-bit integers): ``id, n_tokens, ids_sha256,
+    decoded_sha256, offsets_sha256``."""
+    rows, ranks = _prepare(df, id_col, text_col, vocab)
 
     def run(batches):
-        bpe = codec(raw.value, pattern)
+        bpe = codec(ranks.value, pattern)
         for batch in batches:
-            n, a, b = [], [], []
+            n, digests = [], []
             for value in batch.column("text"):
-                ids = bpe.encode_raw(value.as_py())
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(bpe.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist())).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                text = value.as_py()
+                raw = bpe.encode_raw(text)
+                ids = np.frombuffer(raw, dtype="<u4")
+                spans = np.concatenate(bpe.offsets(text, ids)).astype("<i4")
+                n.append(len(ids))
+                digests.append([hashlib.sha256(x).hexdigest() for x in (raw, bpe.decode_bytes(ids.tolist()), spans.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), *(pa.array([d[k] for d in digests], pa.string()) for k in range(3))], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string")
