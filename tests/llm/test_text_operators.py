@@ -154,7 +154,7 @@ def test_pack_lengths_and_step_groups():
         assert all(len(v) * w <= 8192 + w for (w, _), v in cost.items())
 
 
-def test_exact_copies(spark, docs):
+def test_exact_copies(spark, docs, monkeypatch):
     groups = {}
     for r in docs.collect():
         norm = re.sub(SPACE, "", r["text"] or "")
@@ -165,6 +165,13 @@ def test_exact_copies(spark, docs):
         want += [(i, rows[0][2], len(rows), k == 0, hashlib.sha256(norm.encode()).hexdigest()) for k, (_, _, i) in enumerate(rows)]
     got = exact_dedup.duplicates(docs)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 4)  # most groups are not hot
+    assert sorted(map(tuple, exact_dedup.duplicates(docs).collect()), key=repr) == sorted(want, key=repr)
+    with monkeypatch.context() as m:  # comparisons decide: digests that all collide change nothing
+        m.setattr(exact_dedup.F, "sha2", lambda c, n: exact_dedup.F.lit("collision"))
+        clash = [tuple(r)[:4] for r in exact_dedup.duplicates(docs).collect()]
+        assert sorted(clash, key=repr) == sorted((w[:4] for w in want), key=repr)
+        assert exact_dedup.distinct_documents(docs).count() == len(groups)
     wide = docs.selectExpr("*", "1 as norm", "2 as sha", "3 as salt", "4 as _row", "5 as kept")
     stay = exact_dedup.distinct_documents(wide)
     assert stay.columns == wide.columns

@@ -1,14 +1,17 @@
 """Exact duplicates by content sort.
 
-Rows are range-partitioned by sampled splitters over (head of the normalised bytes, their SHA-256,
-salt), sorted on disk within each partition, and each row is compared in full with its neighbour.
-The splitter key is bounded in size (a long text would otherwise reach the driver's sample) and
-sorts equal contents next to each other. In a run of equal neighbours the first row stays: most code
-points, then smallest id. The texts are shuffled once.
-
-A narrow pass counts digests beforehand. Digests that hold at least ``1/HOT_SHARE`` of all rows — at
-most ``HOT_SHARE`` of them, whatever the data — get a salt for each shuffle partition, so that their
-copies are cut into as many runs, and their leading row is known from that pass.
+One pass over the texts stores each row's normalised bytes with their first characters, SHA-256 and
+length. Rows are range-partitioned by sampled splitters over (first characters, SHA-256, salt), sorted
+on disk within each partition by these and by the normalised bytes, and each row is compared in full
+with its neighbour: where they differ a new run begins. Runs alone decide which rows are equal, how
+many they are and which one stays (most code points, then smallest id); the digest only keeps the
+splitter key short (a long text would otherwise reach the driver's sample) and orders contents that
+begin alike.
+
+Digests that hold at least ``1/HOT_SHARE`` of all rows — at most ``HOT_SHARE`` of them, whatever the
+data — are dealt to salts in proportion to their rows, ``SPREAD`` a shuffle partition in all. The runs
+of such a digest, one a salt and text, are then sorted and compared in full the same way: there are at
+most ``SPREAD`` times the shuffle partitions and two for each such digest (but for colliding digests).
 
 Defined results: null text is the empty text, so all empty and all-white-space texts are one group;
 a null id sorts after every other id; repeated rows with the same id count as rows of their group,
@@ -25,57 +28,75 @@ from weft.runtime import materialize, shuffle_partitions
 
 SPACES = "\t\n\x0b\f\r "
 HEAD = 32
-SALTS = 64
+SPREAD = 4
 
 
 def normalised(text: Column | str) -> Column:
     return F.translate(whole(text), SPACES, "")
 
 
-def _hot_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``sha, hot_n, hot_id, hot_size`` of the digests with the most copies."""
-    narrow = df.select(F.col(id_col).alias("id"), F.char_length(whole(text_col)).alias("n"), F.sha2(normalised(text_col), 256).alias("sha"))
-    lead = F.min(F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("no_id"), F.col("id")))
-    groups = materialize(narrow.groupBy("sha").agg(lead.alias("lead"), F.count(F.lit(1)).alias("hot_size")), "digests")
-    total = groups.agg(F.sum("hot_size")).first()[0] or 0
-    hot = groups.filter((F.col("hot_size") > 1) & (F.col("hot_size") >= -(-total // HOT_SHARE)))
-    return hot.select("sha", (-F.col("lead.n")).alias("hot_n"), F.col("lead.id").alias("hot_id"), "hot_size")
-
-
-def _sorted_runs(df: DataFrame, id_col: str, text_col: str, payload: str | None = None, field: str = "text") -> DataFrame:
-    """Every row in its run of equal neighbours: ``id, sha, n``, ``fresh`` (it differs from the row
-    before), ``lead`` (the run's first row), the hot group's columns, and the column ``payload``,
-    a struct whose ``field`` is the text, where one is named (the text is then shuffled within it)."""
-    hot = F.broadcast(_hot_groups(df, id_col, text_col))
-    salts = max(SALTS, shuffle_partitions(df.sparkSession))
-    rows = df.select(F.col(id_col).alias("id"), whole(text_col).alias("t"), *([payload] if payload else []))
+def _prepared(df: DataFrame, id_col: str, text_col: str, payload: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of digests that are not hot, and rows of hot ones (None where there are none): ``at`` (a
+    row number), ``id, n, head, sha, salt`` and ``norm``, or the column ``payload``, a struct that
+    holds the text, where one is named (the text is then stored and shuffled within it)."""
+    rows = df.select(F.monotonically_increasing_id().alias("at"), F.col(id_col).alias("id"), whole(text_col).alias("t"), *([payload] if payload else []))
     rows = rows.select("*", F.char_length("t").alias("n"), normalised("t").alias("norm"))
     rows = rows.select("*", F.substring("norm", 1, HEAD).alias("head"), F.sha2("norm", 256).alias("sha")).drop("t", *(["norm"] if payload else []))
-    salt = F.when(F.col("hot_size").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(salts)).cast("int"))
-    placed = rows.join(hot, "sha", "left").withColumn("salt", salt).repartitionByRange("head", "sha", "salt")
+    rows = materialize(rows, "normalised")
+    total, spread = rows.count(), SPREAD * shuffle_partitions(df.sparkSession)
+    copies = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("copies")).filter((F.col("copies") > 1) & (F.col("copies") >= -(-total // HOT_SHARE)))
+    hot = materialize(copies.select("sha", F.ceil(F.col("copies") * spread / total).alias("salts")), "hot")
+    if hot.isEmpty():
+        return rows.withColumn("salt", F.lit(0).cast("long")), None
+    cold = rows.join(F.broadcast(hot), "sha", "left_anti").withColumn("salt", F.lit(0).cast("long"))
+    return cold, rows.join(F.broadcast(hot), "sha").withColumn("salt", F.pmod("at", "salts")).drop("salts")
+
+
+def _runs(rows: DataFrame, payload: str | None = None, field: str = "text") -> DataFrame:
+    """``rows`` range-partitioned and sorted by content, with ``norm``, ``run`` and ``fresh``."""
+    rows = rows.repartitionByRange("head", "sha", "salt")
     if payload:
-        placed = placed.withColumn("norm", normalised(F.col(f"{payload}.`{field}`")))
-    run = Window.partitionBy("head", "sha", "salt").orderBy("norm", F.desc("n"), F.asc_nulls_last("id"))
-    before = F.lag("norm").over(run)
-    lead = F.first(F.struct("id", "n")).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return placed.withColumn("fresh", before.isNull() | (before != F.col("norm"))).withColumn("lead", lead).drop("norm")
+        rows = rows.withColumn("norm", normalised(F.col(f"{payload}.`{field}`")))
+    return _compared(rows, "head", "sha", "salt")
+
+
+def _compared(rows: DataFrame, *keys: str, run: str = "run", fresh: str = "fresh") -> DataFrame:
+    """``rows`` sorted by content within ``keys``; a row that differs from the one before it is
+    ``fresh`` and begins a new ``run``."""
+    content = Window.partitionBy(*keys).orderBy("norm", F.desc("n"), F.asc_nulls_last("id"), "at")
+    before = F.lag("norm").over(content)
+    rows = rows.withColumn(fresh, before.isNull() | (before != F.col("norm")))
+    return rows.withColumn(run, F.sum(F.col(fresh).cast("int")).over(content.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def _stays() -> Column:
-    hot = F.col("id").eqNullSafe(F.col("hot_id")) & (F.col("n") == F.col("hot_n"))
-    return F.col("fresh") & (F.col("hot_size").isNull() | hot)
+def _whole_groups(leads: DataFrame) -> DataFrame:
+    """The runs of hot digests with ``first`` (the first row of all equal runs) and ``all_rows``."""
+    same = Window.partitionBy("head", "sha", "group")
+    leads = _compared(leads, "head", "sha", run="group", fresh="leads")
+    return leads.select("*", F.max(F.when(F.col("leads"), F.struct("at", "id"))).over(same).alias("first"), F.sum("size").over(same).alias("all_rows"))
 
 
 def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, keep_id, group_size, kept, text_sha256`` for every row of ``df``."""
-    rows = _sorted_runs(df, id_col, text_col)
-    size = F.count(F.lit(1)).over(Window.partitionBy("head", "sha", "salt"))
-    keep_id = F.when(F.col("hot_size").isNull(), F.col("lead.id")).otherwise(F.col("hot_id"))
-    out = rows.withColumn("size", size)
-    return out.select("id", keep_id.alias("keep_id"), F.coalesce("hot_size", "size").alias("group_size"), _stays().alias("kept"), F.col("sha").alias("text_sha256"))
+    cold, hot = _prepared(df, id_col, text_col)
+    run = Window.partitionBy("head", "sha", "salt", "run")
+    sized = lambda rows: rows.select("*", F.count(F.lit(1)).over(run).alias("size"), F.max(F.when(F.col("fresh"), F.struct("at", "id"))).over(run).alias("first"))
+    named = lambda rows, size: rows.select("id", F.col("first.id").alias("keep_id"), F.col(size).alias("group_size"), (F.col("first.at") == F.col("at")).alias("kept"), F.col("sha").alias("text_sha256"))
+    out = named(sized(_runs(cold)), "size")
+    if hot is None:
+        return out
+    rows = sized(_runs(hot).withColumn("norm", F.when(F.col("fresh"), F.col("norm"))))  # the first of a run is compared once more
+    rows = materialize(rows.drop("first"), "hot-runs")
+    groups = _whole_groups(rows.filter("fresh")).select("head", "sha", "salt", "run", "first", "all_rows")
+    return out.unionByName(named(rows.drop("norm").join(F.broadcast(groups), ["head", "sha", "salt", "run"]), "all_rows"))
 
 
 def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return _sorted_runs(packed, "_id", "_text", "_row", text_col).filter(_stays()).select("_row.*")
+    cold, hot = _prepared(packed, "_id", "_text", "_row")
+    out = _runs(cold, "_row", text_col).filter("fresh").select("_row.*")
+    if hot is None:
+        return out
+    leads = _whole_groups(_runs(hot, "_row", text_col).filter("fresh").withColumn("size", F.lit(1)))
+    return out.unionByName(leads.filter(F.col("first.at") == F.col("at")).select("_row.*"))
