@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import io
+import math
 import random
 import struct
 import zipfile
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -109,14 +111,15 @@ def test_archives_round_trip(spark):
 
 def brute(queries, rows, k):
     ok = lambda v: v is not None and all(x is not None and np.isfinite(x) for x in v)
-    ints = lambda v: [int(np.floor(256 * float(x))) for x in v]
+    ints = lambda v: [math.floor(256 * Fraction(x)) for x in v]
     live = [(i, ints(v)) for i, v in rows if i is not None and ok(v)]
+    clamp = lambda s: max(-(2**63), min(2**63 - 1, s))
     out = []
     for q, v in queries:
         if q is None or not ok(v):
             continue
         x = ints(v)
-        found = sorted(((-sum(a * b for a, b in zip(x, y)), i) for i, y in live if i != q and len(y) == len(x)))[:k]
+        found = sorted(((-clamp(sum(a * b for a, b in zip(x, y))), i) for i, y in live if i != q and len(y) == len(x)))[:k]
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
     return sorted(out)
 
@@ -128,22 +131,45 @@ def test_top_k_is_exact(spark):
     rows += [(2000, None), (2001, [1.0, None] * 6), (2050, [float("nan")] * 12), (2100, [float("inf")] * 12), (2150, [0.5] * 3), (2151, [0.25] * 3), (None, [1.0] * 12), (2200, []), (2250, [1e30] * 12), (2251, [0.0] * 12), (2252, [0.0] * 12)]
     schema = "vec_id long, embedding array<float>"
     frame = spark.createDataFrame(rows, schema).repartition(5)
-    safe = [r for r in rows if r[0] != 2250]
-    asked = [r for r in safe if r[0] is not None and r[0] % 50 == 0]
-    got = vafile.top_k(spark.createDataFrame(asked, schema), spark.createDataFrame(safe, schema).repartition(4), 5)
-    assert sorted(map(tuple, got.collect())) == brute(asked, safe, 5)
-    huge = vafile.top_k(frame.filter("vec_id % 50 = 0"), frame, 5)
-    assert huge.filter("query_id = 100").count() == 5
+    asked = [r for r in rows if r[0] is not None and r[0] % 50 == 0]
+    got = vafile.top_k(frame.filter("vec_id % 50 = 0"), frame, 5)
+    assert sorted(map(tuple, got.collect())) == brute(asked, rows, 5)
+    few = vafile.top_k(frame.filter("vec_id % 50 = 0"), frame, 5, first=1)
+    assert sorted(map(tuple, few.collect())) == brute(asked, rows, 5)
     assert vafile.top_k(frame.limit(0), frame, 5).count() == 0 and vafile.top_k(frame.filter("vec_id = 0"), frame.limit(0), 5).count() == 0
 
 
+def test_top_k_to_the_limits_of_a_long(spark):
+    """Scores near a long's limits and beyond, components that no long holds, repeated rows."""
+    draw = random.Random(8)
+    size = lambda: draw.choice([0.0, -0.0, 1.0, 1e-300, 1e5, 3e7, 1e14, 1e18, 1e40, 1e200, 1.7e308]) * draw.choice([1, -1]) * draw.choice([1, 1 / 3])
+    rows = [(0, [1e14, 1.0]), (1, [1.0, 0.0]), (50, [1.0, 0.0]), (51, [1e14, 1.0]), (2, [2.0**31, 2.0**15]), (100, [2.0**15, 2.0**31 - 1]), (3, [2.0**31, 2.0**14])]
+    rows += [(200 + k, [size(), size()]) for k in range(60)] + [(400 + k, [draw.uniform(-3e7, 3e7) for _ in range(2)]) for k in range(120)]
+    rows += [(500, [1.0, 1.0])] * 4 + [(501, [1e14, 1.0])] * 9 + [(450, [5e6, -5e6])] * 7
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = [r for r in rows if r[0] % 50 == 0]
+    got = sorted(map(tuple, vafile.top_k(frame.filter("vec_id % 50 = 0"), frame, 5).collect()))
+    assert got == brute(asked, rows, 5)
+    pair = frame.filter("vec_id in (0, 50)")
+    assert sorted(map(tuple, vafile.top_k(pair, pair, 5).collect())) == [(0, 1, 50, 6553600000000000000), (50, 1, 0, 6553600000000000000)]
+    beyond = spark.createDataFrame([(k, [1e18 * (1 + k % 7), 0.0]) for k in range(60)] + [(100, [-1e18, 0.0])], frame.schema)
+    live = [tuple(r) for r in beyond.collect()]
+    asked = [r for r in live if r[0] % 50 == 0]
+    assert sorted(map(tuple, vafile.top_k(beyond.filter("vec_id % 50 = 0"), beyond, 5).collect())) == brute(asked, live, 5)
+
+
 def test_bounds_hold_and_few_vectors_are_read():
     draw = np.random.default_rng(1)
-    x, q = draw.integers(-200, 200, (500, 16)), draw.integers(-200, 200, (20, 16))
-    low, step, cells = vafile.to_cells(x)
-    lower, upper = vafile.bounds(q, low, step, cells)
-    exact = q @ x.T
-    assert (lower <= exact).all() and (exact <= upper).all() and ((x - low) // step == cells).all()
+    x, q = draw.integers(-200, 200, (500, 16)).astype(float), draw.integers(-200, 200, (20, 16)).astype(float)
+    for more in (1.0, 1e9, 1e30):
+        low, step, slack, cells = vafile.to_cells(x * more)
+        lower, upper = vafile.bounds(q, low, step, slack, cells)
+        exact = [[max(-(2**63), min(2**63, sum(int(a) * int(b) for a, b in zip(u, v)))) for v in x * more] for u in q]
+        assert all(lower[i, j] <= exact[i][j] <= upper[i, j] for i in range(20) for j in range(500))
+    scan, x = vafile.Scan(5), draw.normal(size=(4000, 16)) * 100
+    scan.add(np.arange(20), np.full(20, -1), q)
+    left = sum(len(found[0]) for at in range(0, 4000, 500) for found in scan.survivors(np.arange(at, at + 500), np.arange(at, at + 500), vafile.to_cells(np.floor(x[at : at + 500]))))
+    assert 20 * 5 <= left < 20 * 200
 
 
 # -- rules -------------------------------------------------------------------------------------------
