@@ -5,8 +5,10 @@ import hashlib
 import io
 import math
 import random
+import re
 import struct
 import zipfile
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -280,6 +282,107 @@ def test_classifier_agrees_with_labels(spark):
     assert right >= 0.97 and sum(clean) / len(clean) >= 0.98
 
 
+def plain_votes(text):
+    words = text.split()
+    n = len(words)
+    if not n:
+        return 0, 0, 0, 0, 1, 0, 0
+    noise = sum(len(re.search(r"[^\w\s.,;:!?'\"()-]*$", w)[0]) >= 2 for w in words) / n
+    shout = (len(re.findall("!!", text)) + sum(1 for w in words if len(w) > 1 and w.isupper())) / 2 / n
+    bars = sum(w in "|•·»>" for w in words) / n
+    repeats = sum(words[k] == words[k + 1] for k in range(n - 1)) / n
+    vote = lambda x, junk, clean: (1 if round(x * n, 6) >= 4 else 0) if x >= junk else -1 if x <= clean else 0
+    solid = sum(c.isalnum() for c in text) / len(text)
+    variety, small = len({*words}) / n, sum(1 for w in words if w.isalpha() and len(w) < 4) / n
+    return (
+        *(vote(*x) for x in ((noise, 0.1, 0.03), (shout, 0.15, 0.05), (bars, 0.1, 0.03), (repeats, 0.15, 0.05))),
+        1 if solid < 0.5 else -1 if solid > 0.7 else 0,
+        (1 if variety < min(0.2, 8 / math.sqrt(n)) else -1 if variety > 0.4 else 0) if n >= 40 else 0,
+        (1 if small < 0.06 else -1 if small > 0.15 else 0) if n >= 12 else 0,
+    )
+
+
+def plain_em(counts):
+    """Log-odds of each pattern, by loops."""
+    total, labels = sum(counts.values()), len(next(iter(counts)))
+    junk = {p: 0.9 if 1 in p else 0.02 for p in counts}
+    last = None
+    for _ in range(200):
+        weight = [{p: n * junk[p] for p, n in counts.items()}, {p: n * (1 - junk[p]) for p, n in counts.items()}]
+        mass = [sum(w.values()) for w in weight]
+        prior = [(m + 1) / (sum(mass) + 2) for m in mass]
+        right = []
+        for c in (0, 1):
+            row = []
+            for k in range(labels):
+                says = [sum(w for p, w in weight[c].items() if p[k] == v) + 0.5 + (quality.TRUST * total * prior[c] if (v == 1) == (c == 0) else 0) for v in (1, -1)]
+                row.append([x / sum(says) for x in says])
+            right.append(row)
+        like = {p: [math.log(prior[c]) + sum(math.log(right[c][k][0 if v == 1 else 1]) for k, v in enumerate(p) if v) for c in (0, 1)] for p in counts}
+        fit = sum(n * (max(like[p]) + math.log(sum(math.exp(x - max(like[p])) for x in like[p]))) for p, n in counts.items())
+        junk = {p: 1 / (1 + math.exp(max(-60, min(60, b - a)))) for p, (a, b) in like.items()}
+        if last is not None and abs(fit - last) < 1e-7 * max(1, total):
+            break
+        last = fit
+    return {p: a - b for p, (a, b) in like.items()}
+
+
+def plain_scorer(examples):
+    w, seen = [0.0] * quality.BUCKETS, [1e-6] * quality.BUCKETS
+    order = np.random.default_rng(0)
+    for _ in range(5):
+        for r in order.permutation(len(examples)):
+            at, x, y = examples[r]
+            off = 1 / (1 + math.exp(-max(-30, min(30, sum(w[k] * v for k, v in zip(at, x)))))) - y
+            slopes = [(k, off * v + 1e-4 * w[k]) for k, v in zip(at, x)]
+            for k, g in slopes:
+                seen[k] += g * g
+                w[k] -= 0.5 * g / math.sqrt(seen[k])
+    return w
+
+
+def plain_features(text):
+    words, m, out = text.split(), quality.measures(text), {}
+    add = lambda name, v: out.__setitem__(zlib.crc32(name.encode()) % quality.BUCKETS, out.get(zlib.crc32(name.encode()) % quality.BUCKETS, 0) + v)
+    for w in words:
+        kind = re.sub(r"\d+", "0", re.sub(r"[^\W\d_]+", "a", w))
+        add("shape " + kind + ("U" if len(w) > 1 and w.isupper() else ""), 1 / len(words))
+    size = min(len(words).bit_length(), 14)
+    add(f"length {size}", 1)
+    for name, grid in quality.GRIDS.items():
+        step = sum(m[name] >= g for g in grid)
+        add(f"{name} {step}", 0.5)
+        add(f"{name} {step} {size // 2}", 0.5)
+    return out
+
+
+def test_classifier_by_brute_force(spark, sf):
+    """Votes, EM, features and scorer over a small table, each against plain code."""
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [None, "", "a", "| a b | c •" * 9, "WOW!! " * 30, "x## y%% " * 20, "a a " * 40, "-" * 5000, "é---" * 999, "漢字 🙂🙂 ok"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["id"]: r for r in quality.score(frame).collect()}
+    own = {k: plain_votes(t or "") for k, t in enumerate(texts)}
+    assert {k: tuple(map(int, r["votes"].split(","))) for k, r in got.items()} == own
+    counts = {}
+    for v in own.values():
+        counts[v] = counts.get(v, 0) + 1
+    odds = plain_em(counts)
+    examples = []
+    for k, t in enumerate(texts):
+        at, x = quality.features(t or "", quality.measures(t or ""), {})
+        plain = plain_features(t or "")
+        assert len(at) == len(plain) and all(abs(plain[i] - v) < 1e-5 for i, v in zip(at.tolist(), x.tolist()))
+        examples.append((at, x, 1 / (1 + math.exp(-odds[own[k]]))))
+    order = sorted(range(len(examples)), key=lambda k: (examples[k][0].tobytes(), examples[k][1].tobytes()))
+    weights = plain_scorer([tuple(np.asarray(c).tolist() for c in examples[k]) for k in order])
+    for k, (at, x, _) in enumerate(examples):
+        z = sum(weights[i] * v for i, v in zip(at.tolist(), x.tolist()))
+        assert abs(got[k]["quality_score"] - 1 / (1 + math.exp(z))) < 1e-3, k
+        assert got[k]["keep"] == (got[k]["quality_score"] >= 0.5)
+    kept = quality.clean_documents(frame).collect()
+    assert sorted(r["doc_id"] for r in kept) == [k for k in range(len(texts)) if got[k]["keep"]]
+
+
 def test_classifier_edges(spark):
     rows = [(1, None), (2, ""), (3, "a"), (4, "Was. " * 500), (5, "word " * 20_000), (None, "x y z"), (1, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as keep", "2 as votes", "3 as _row", "4 as quality")
@@ -292,7 +395,7 @@ def test_wordless_vote_reads_the_whole_text():
     """Fixed-width lines, where a stride meets the same column every time."""
     for text in ("a---" * 1000, "é---" * 1000, "-aaa" * 1000, "-éaa" * 1000, "ab_ ²٣漢字🙂\n" * 900):
         share = sum(map(str.isalnum, text)) / len(text)
-        assert quality.votes(text)[4] == (quality.JUNK if share < 0.5 else quality.CLEAN if share > 0.7 else quality.ABSTAIN)
+        assert quality.votes(quality.measures(text))[4] == (quality.JUNK if share < 0.5 else quality.CLEAN if share > 0.7 else quality.ABSTAIN)
         assert quality.alphanumerics(text) == sum(map(str.isalnum, text))
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     assert quality.alphanumerics(every) == sum(map(str.isalnum, every))
