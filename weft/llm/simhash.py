@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import join_lookup, whole
@@ -35,8 +35,10 @@ SEED = 42
 BUCKET = 4096
 PIVOTS = 16
 #: For near copies by similarity: words of a shingle, bands of a MinHash signature and places of
-#: each, and members of a block when the pairs of a bucket are dealt out.
-WIDE_SHINGLE, BANDS, ROWS, BLOCK = 5, 48, 6, 256
+#: each, members of a block when pairs are dealt out, and rounds of stars before that.
+WIDE_SHINGLE, BANDS, ROWS, BLOCK, STARS = 5, 48, 6, 256, 3
+#: Shingles of a text that are hashed to bits at a time.
+CHUNK = 100_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -53,9 +55,12 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = len(words) - shingle + 1
-    hashes = b"".join([xxh64_digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(n, 8), axis=1)
-    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > n).tobytes(), "big")
+    ones = np.zeros(64, np.int64)
+    for at in range(0, n, CHUNK):  # a bounded table of bits, however long the text
+        spans = zip(starts[at : min(at + CHUNK, n)].tolist(), ends[at + shingle - 1 : at + shingle - 1 + CHUNK].tolist())
+        hashes = b"".join([xxh64_digest(joined[a:b], SEED) for a, b in spans])
+        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -277,7 +282,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("su"), batch.column("sv")):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                a, b = a.values.to_numpy(), b.values.to_numpy()
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both / max(1, len(a) + len(b) - both) >= similarity)
             keep = pa.array(keep, pa.bool_())
@@ -290,68 +295,120 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return materialize(pairs.mapInArrow(run, "u long, v long"), "links")
 
 
-def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, set`` of those nodes: their shingles, from the text of one row each."""
-    wanted = classes.join(nodes, "node", "left_semi").select(F.col("node").alias("_node"), F.col("rep").alias("_rep"))
-    texts = docs.join(wanted, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_rep"))).select("node", "text")
+def _sets(signatures: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, set`` of those nodes: the hashes of their shingles, from their own row's text."""
+    texts = signatures.join(nodes.select(F.col("node").alias("at")), "at", "left_semi").select(F.col("at").alias("node"), "text")
 
     def run(batches):
         for batch in batches:
-            own = [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], ["node", "set"])
+            own = [shingle_set(t.as_py()).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], ["node", "set"])
 
-    return materialize(texts.mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), "sets")
+    return materialize(texts.mapInArrow(run, "node long, set array<long>"), "sets")
 
 
-def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bucket: int = BLOCK) -> DataFrame:
+def _alike(a: Column, b: Column, similarity: float) -> Column:
+    """Whether sets of these sizes can have the similarity."""
+    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - F.lit(1e-6)
+
+
+def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bucket: int = BLOCK, stars: int = STARS) -> DataFrame:
     """``id, component_id`` for every row: documents whose sets of five-word shingles have that
     Jaccard similarity or more are linked, others are not.
 
-    Documents with equal sets are one class. Classes meet where they agree in one of ``BANDS`` bands
-    of a MinHash signature, whose chance depends on the similarity alone, not on the shape of the
-    edit nor on the size of a bucket; a pair at 0.8 is missed once in two million. Of each bucket
-    first all are compared with the smallest, so that a large group of copies takes as many pairs as
-    it has members. Where a bucket still holds several components, all its pairs across them are
-    compared as well, dealt out by blocks of ``bucket`` members. Every compared pair is decided by
-    the sets themselves.
+    Documents with equal sets (by a digest of 128 bits) are one class. A class that agrees with no
+    other in any of ``BANDS`` bands of a MinHash signature has no partner; that depends on the
+    similarity alone, not on the shape of an edit nor on the size of a bucket, and a pair at 0.8 is
+    missed once in two million. Within a bucket a few rounds compare all members with one of them, as
+    many pairs as members, which joins large groups of copies. Members of buckets that still hold
+    several components then meet by their rarest shingles (:func:`_by_rare_shingles`), which loses no
+    link and makes no pairs of documents that merely share a passage. Every compared pair is decided
+    by the sets themselves.
     """
     ship(df.sparkSession)
-    rows = df.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
+    rows = df.select(F.monotonically_increasing_id().alias("at"), F.col(id_col).alias("id"), whole(text_col).alias("text"))
 
     def run(batches):
-        from xxhash import xxh64_intdigest
+        from xxhash import xxh3_128_digest
 
         seeds = _seeds()
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column("text")]
-            node = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
             codes = [np.array(band_codes(s, seeds), dtype=np.uint64).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array(codes, pa.list_(pa.int64()))], ["id", "text", "node", "size", "codes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("at", "id", "text")), pa.array([xxh3_128_digest(s.tobytes(), SEED) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(codes, pa.list_(pa.int64()))], ["at", "id", "text", "digest", "size", "codes"])
+
+    signatures = materialize(rows.mapInArrow(run, f"at long, id {rows.schema['id'].dataType.simpleString()}, text string, digest binary, size int, codes array<long>"), "signatures")
+    classes = materialize(signatures.groupBy("digest").agg(F.min("at").alias("node"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    docs = materialize(join_lookup(signatures.select("id", "digest"), classes.select("digest", "node", "rows"), "digest", "rows", signatures.count()).drop("digest"), "numbered")
+    bands = signatures.join(classes.select(F.col("node").alias("at")), "at", "left_semi").select(F.col("at").alias("node"), "size", F.explode("codes").alias("code"))
+    bands = materialize(bands, "bands")
+    buckets = materialize(bands.groupBy("code").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b"), "shared")
+    members = materialize(join_lookup(bands, buckets, "code", "n", bands.count()).filter("a IS NOT NULL").select("code", "node", "size"), "members")
+    sets = _sets(signatures, members.select("node").distinct())
+    edges = done = df.sparkSession.createDataFrame([], "u long, v long")
+    placed = members.withColumn("root", F.col("node"))
+    for turn in range(stars):
+        star = _star(placed, done, similarity, turn)
+        found = _verified(star, sets, similarity)
+        edges, done = edges.unionByName(found), done.unionByName(star)
+        placed = materialize(_mixed(_rooted(members, edges), "code").drop("blocks"), "mixed")
+        if found.isEmpty():
+            break
+    edges = edges.unionByName(_verified(_by_rare_shingles(placed, sets, done, similarity, bucket), sets, similarity))
+    return _named(docs, classes, edges).select("id", "component_id")
 
-    docs = materialize(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string, node long, size int, codes array<long>"), "signatures")
-    classes = materialize(docs.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
-    bands = docs.select("node", "size", F.explode("codes").alias("code"))
-    buckets = materialize(bands.groupBy("code").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).filter("first <> last").drop("last"), "shared")
-    members = materialize(join_lookup(bands, buckets, "code", "n", BANDS * docs.count()).filter("first IS NOT NULL").distinct(), "members")
-    star = materialize(members.filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct(), "star")
-    sets = _sets(docs, classes, members.select("node").distinct())
-    edges = _verified(star, sets, similarity)
-    edges = edges.unionByName(_verified(_across(members, edges, star, similarity, bucket), sets, similarity))
-    return _named(docs.select("id", "node"), classes, edges).select("id", "component_id")
-
-
-def _across(members: DataFrame, edges: DataFrame, done: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Pairs of members of one bucket that ``edges`` do not join, but those ``done`` and those whose
-    sizes alone forbid the similarity."""
-    placed = members.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = materialize(placed.select("code", "node", "size", "root"), "placed")
-    mixed = placed.groupBy("code").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).select("code", "n", "blocks")
-    held = materialize(join_lookup(placed, mixed, "code", "n", placed.count()).filter("blocks IS NOT NULL"), "mixed")
-    left = held.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
-    right = held.select("code", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("node").alias("v"), F.col("size").alias("sv"), F.col("root").alias("rv"))
-    fits = F.least("size", "sv") >= F.lit(similarity) * F.greatest("size", "sv") - F.lit(1e-6)
-    pairs = left.join(right, ["code", "part"]).filter((F.col("node") > F.col("v")) & (F.col("root") != F.col("rv")) & fits)
-    return materialize(pairs.select(F.col("node").alias("u"), "v").distinct().join(done, ["u", "v"], "left_anti"), "across")
+
+def _rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
+    return materialize(members.join(components(edges), "node", "left").select(*members.columns, F.coalesce("root", "node").alias("root")), "placed")
+
+
+def _mixed(placed: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """The rows ``(key, node, size, root)`` of the keys that several roots share, with the number of
+    ``blocks`` that hold a key's rows."""
+    shared = placed.groupBy(key).agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select(key, "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    return join_lookup(placed, shared, key, "n", placed.count()).filter("blocks IS NOT NULL")
+
+
+def _star(placed: DataFrame, done: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Each member paired with one of its bucket, another one each turn."""
+    centre = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "size", "root")).alias("c")
+    centres = placed.groupBy("code").agg(centre, F.count(F.lit(1)).alias("n"))
+    pairs = join_lookup(placed, centres, "code", "n", placed.count()).filter((F.col("root") != F.col("c.root")) & _alike(F.col("size"), F.col("c.size"), similarity))
+    pairs = pairs.select(F.greatest("node", "c.node").alias("u"), F.least("node", "c.node").alias("v")).distinct()
+    return materialize(pairs.join(done, ["u", "v"], "left_anti"), "star")
+
+
+def _by_rare_shingles(placed: DataFrame, sets: DataFrame, done: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Pairs of the nodes of ``placed`` that have different roots and can have the similarity, but
+    those ``done``; complete by the prefix filter.
+
+    A node's shingles are ordered by the number of these nodes that have them. Of sets that are
+    alike enough each has another's shingle among its ``size - ceil(similarity * size) + 1`` first
+    ones, so nodes meet only there: a passage that many share comes last and meets nobody. Where it is
+    most of a text, the sizes that a partner can have are bounded by the shingles held in common.
+    """
+    nodes = materialize(placed.select("node", "root").distinct(), "open")
+    each = materialize(sets.join(nodes, "node").select("node", "root", F.size("set").alias("size"), F.explode("set").alias("token")), "shingles")
+    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("df", F.col("n"))
+    shared = join_lookup(each, common, "token", "n", each.count()).filter("df IS NOT NULL")
+    own = Window.partitionBy("node")
+    held = F.count(F.lit(1)).over(own)  # of the node's shingles; those of this node only come before all others
+    first = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - F.lit(1e-6)) + 1
+    # Two sets share no more than either holds in common with anybody: that bounds a partner's size.
+    most = F.floor(held * F.lit((1 + similarity) / similarity) + F.lit(1e-6)) - F.col("size")
+    prefix = shared.select("token", "node", "root", "size", most.alias("most"), (F.col("size") - held + F.row_number().over(own.orderBy("df", "token"))).alias("place"))
+    prefix = materialize(prefix.filter(F.col("place") <= first), "prefixes")
+    least = prefix.groupBy("token").agg(F.min("size").alias("least"), F.count(F.lit(1)).alias("n"))
+    prefix = join_lookup(prefix, least, "token", "n", prefix.count()).filter("most >= least").drop("least")
+    rare = materialize(_mixed(materialize(prefix, "partners"), "token", block), "rare")
+    left = rare.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
+    right = rare.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), *[F.col(c).alias(f"_{c}") for c in ("node", "root", "size", "most", "place")])
+    # Where it is their first shingle in common, no more than this one and those behind it are.
+    overlap = F.least(F.col("size") - F.col("place"), F.col("_size") - F.col("_place")) + 1
+    enough = overlap >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("_size")) - F.lit(1e-6)
+    fit = enough & (F.col("most") >= F.col("_size")) & (F.col("_most") >= F.col("size")) & _alike(F.col("size"), F.col("_size"), similarity)
+    pairs = left.join(right, ["token", "part"]).filter((F.col("node") > F.col("_node")) & (F.col("root") != F.col("_root")) & fit)
+    return materialize(pairs.select(F.col("node").alias("u"), F.col("_node").alias("v")).distinct().join(done, ["u", "v"], "left_anti"), "rare-pairs")
 
 
 def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, **options) -> DataFrame:
