@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import html
 import io
 import math
 import random
@@ -89,13 +90,13 @@ PAGES = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (3, None, None),
 def test_archives_round_trip(spark):
     frame = spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr("*", "1 as digest", "2 as id", "3 as payload").repartition(3)
     last = {}
-    for i, _, html in PAGES:
+    for i, _, page in PAGES:
         if i is not None:
-            last[html or ""] = max(i, last.get(html or "", i))
+            last[page or ""] = max(i, last.get(page or "", i))
     want = []
-    for i, _, html in PAGES:
-        body = (html or "").encode()
-        top = last.get(html or "")
+    for i, _, page in PAGES:
+        body = (page or "").encode()
+        top = last.get(page or "")
         revisit = top is not None and i != top
         want.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if revisit else "response", top if revisit else None))
     got = warc.page_records(frame)
@@ -217,13 +218,13 @@ def test_message_passing_is_exact():
     for _ in range(30):
         n = draw.randint(1, 9)
         parent = [-1, *(draw.randrange(k) for k in range(1, n))]
-        unary, pair = [draw.gauss(0, 2) for _ in range(n)], [draw.gauss(0, 1) for _ in range(4)]
+        unary, edges = [draw.gauss(0, 2) for _ in range(n)], [[draw.gauss(0, 1) for _ in range(4)] for _ in range(n)]
         weight = []
         for state in range(2**n):
             bit = lambda k: state >> k & 1  # noqa: E731, B023
-            weight.append(np.exp(sum(unary[k] * bit(k) for k in range(n)) + sum(pair[2 * bit(parent[k]) + bit(k)] for k in range(1, n))))
+            weight.append(np.exp(sum(unary[k] * bit(k) for k in range(n)) + sum(edges[k][2 * bit(parent[k]) + bit(k)] for k in range(1, n))))
         total = sum(weight)
-        prob, pairs, log_total = html_extract.marginals(parent, unary, pair)
+        prob, pairs, log_total = html_extract.marginals(parent, unary, edges)
         assert np.isclose(log_total, np.log(total))
         for k in range(n):
             assert np.isclose(prob[k], sum(w for s, w in enumerate(weight) if s >> k & 1) / total)
@@ -248,13 +249,53 @@ def test_extraction(spark):
     <article><h1>A  title &amp; more</h1><p><b>First&nbsp;line<br>goes on<p>Second &lt;p&gt; here, with <a href="/x">a link</a> and text.
     <!-- hidden --><p>Third.</p><div class="comments"><div class="comment"><p>I disagree with this.</p></div></div></article><footer>&copy; x</footer>"""
     assert model.extract(source) == "A title & more\nFirst line goes on\nSecond <p> here, with a link and text.\nThird."
-    odd = [None, "", "plain text only", "<" * 3000, "<p", "</div></div>", "<div>" * 3000 + "deep", "<script>never closed", "<a b='", "&#x110000; &#0;"]
+    plain = {2: "plain text only", 10: "x y", 12: "Out in."}
+    odd = [None, "", "plain text only", "<" * 3000, "<p", "</div></div>", "<div>" * 3000 + "deep", "<script>never closed", "<a b='", "&#x110000; &#0;", "<body><p>x <svg><text>no</text><svg/></svg> y</p></body>", "<p>a <object>b <object>c", "<p>Out <button>Buy <button>no</button></button>in.<select><option>One<option>Two</select></p>"]
     frame = spark.createDataFrame([(k, h) for k, h in enumerate(odd)], "page_id long, html string").selectExpr("*", "'u' as url", "1 as text", "2 as n_chars")
+    plain[11] = "a b c"
     got = {r["id"]: r for r in html_extract.extract(frame, keep=("url",)).collect()}
+    assert {k: got[k]["text"] for k in plain} == plain
     assert len(got) == len(odd) and got[0]["text"] == "" and got[1]["n_chars"] == 0 and all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+LONG = "The council met on Tuesday and after a long debate agreed to rebuild the old bridge over the river. "
+#: Layouts that the labelled pages do not have, and the blocks that are their articles.
+UNLIKE = [
+    ("<body>" + "".join(f"<p>{LONG}{k}</p>" for k in range(20)) + "</body>", [f"{LONG}{k}" for k in range(20)]),
+    (f"<body><div>{LONG * 20}</div></body>", [(LONG * 20).strip()]),
+    (LONG * 3, [(LONG * 3).strip()]),
+    (f"<body><nav><a href=/>Home</a></nav><p>{LONG}</p><p>Short.</p><footer>&copy; us</footer></body>", [LONG.strip(), "Short."]),
+    (f"<html><body><div><div><div><h2>Title of it</h2>{LONG}<p>{LONG}</p></div></div></div></body></html>", ["Title of it", LONG.strip(), LONG.strip()]),
+    (f"<ul class=navbar><li><a href=/a>One</a><li><a href=/b>Two</a></ul><h1>The old bridge</h1><p>{LONG}<p>{LONG}<div class=sidebar><p>{LONG}</p></div>", ["The old bridge", LONG.strip(), LONG.strip()]),
+    (f"<body><center><table><tr><td>{LONG * 2}</td></tr></table></center><div id=footer>Mail us</div></body>", [(LONG * 2).strip()]),
+    (f"<body><div id=menu><a href=/>A</a> <a href=/b>B</a></div><div><p>{LONG}</p><blockquote>{LONG}</blockquote><p>{LONG}</p></div><div class=comments><p>{LONG}</p><p>I agree.</p></div></body>", [LONG.strip()] * 3),
+    (f"<h1>The old bridge</h1>{LONG}", ["The old bridge", LONG.strip()]),
+    (f"<main><h1>The old bridge</h1><section><h2>First</h2><p>{LONG}</p></section><section><h2>Second</h2><p>{LONG}</p></section><aside><p>{LONG}</p></aside></main>", ["The old bridge", "First", LONG.strip(), "Second", LONG.strip()]),
+]
+
+
+def test_unlike_pages():
+    """Articles in layouts that no labelled page has: whole, and nothing else."""
+    model = html_extract.default_model()
+    for source, blocks in UNLIKE:
+        assert model.extract(source) == "\n".join(blocks), source[:80]
+
+
+def plain_article(source):
+    """The article of this table's pages, by their one template."""
+    found = re.search(r"<article>(.*?)(?:</article>|\Z)", source, re.S)
+    inner = re.sub(r"</?b>", "", re.sub("<br>", " ", re.sub(r"<!--.*?(-->|\Z)", "", found[1] if found else "", flags=re.S)))
+    blocks = (" ".join(html.unescape(part).split()) for part in re.split(r"</?(?:p|h1)>", inner))
+    return "\n".join(block for block in blocks if block)
+
+
+def test_pages_by_their_template(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: plain_article(r["html"] or "") for r in pages.collect()}
+    assert {r["id"]: r["text"] for r in html_extract.extract(pages).collect()} == want
+
+
 # -- quality -----------------------------------------------------------------------------------------
 
 

@@ -8,10 +8,14 @@ gradient ascent on the likelihood of labelled pages (:func:`labelled_pages`).
 
 Text of blocks with a probability of at least one half is returned: character references decoded,
 white space inside a block turned into one space, blocks joined by newlines. A line break element is
-white space. Scripts, styles, comments and the head are never text.
+white space. Scripts, styles, comments, embedded objects and controls of forms are never text.
 
-Defined results: null html is the empty page; a page without content has the empty text; pages may be
-cut off anywhere or be no HTML at all; repeated rows are extracted one by one.
+An article needs no container of its own: labelled pages also have paragraphs, unnamed blocks or bare
+text right in the body, and no markup at all.
+
+Defined results: null html is the empty page; a page without content has the empty text; a text
+without markup is one block of content; pages may be cut off anywhere; an embedded object that is never
+closed hides nothing; repeated rows are extracted one by one.
 """
 
 from __future__ import annotations
@@ -29,15 +33,30 @@ from weft.llm.common import whole
 from weft.runtime import ship
 
 BLOCKS = frozenset("html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-HIDDEN = frozenset("script style template noscript head title textarea svg iframe object".split())
-RAW = frozenset("script style textarea title noscript template iframe".split())
+#: Elements whose text is none of the page's: to their end tag or the end of the page, and, where they
+#: can hold their own kind, to the matching end tag if there is one.
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
+NESTED = frozenset("svg math object audio video canvas button select datalist map".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("html body dd dt li option tbody td tfoot th thead tr summary figcaption".split())
 #: A start tag ends an open element of these names, up to the nearest of the second set.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Blocks that without class or id say nothing of what they hold.
+LAYOUT = frozenset("root html body div center table tbody tr td section".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+_UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
+
+
+def _past(source: str, at: int, name: str) -> int:
+    """Where the element ``name`` that is open at ``at`` ends; ``at`` itself where it never does."""
+    depth = 1
+    for found in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*?(/?)>", re.I).finditer(source, at):
+        depth += -1 if found[1] else 0 if found[2] else 1
+        if not depth:
+            return found.end()
+    return at
 
 
 class Page:
@@ -81,6 +100,10 @@ class Page:
                 if name in RAW and not found[0].endswith("/>"):
                     ends = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(source, at)
                     at = ends.start() if ends else len(source)
+                elif name in NESTED:
+                    if not found[0].endswith("/>"):
+                        at = _past(source, at, name)
+                    run.append(" ")
                 elif name == "a":
                     links = 1
                 elif name in BLOCKS:
@@ -98,6 +121,8 @@ class Page:
                     elif name in CLOSES_P and tags[stack[-1]] == "p":
                         stack.pop()
                     own = tuple(w for m in _NAMED.finditer(found[3]) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())) if "=" in found[3] else ()
+                    if found[3] and _UNSEEN.search(found[3]):
+                        own += ("unseen",)
                     self.parent.append(stack[-1])
                     self.tag.append(name)
                     self.names.append(own)
@@ -123,7 +148,7 @@ class Page:
     def features(self) -> list[list[str]]:
         out = []
         for tag, names, n, linked in zip(self.tag, self.names, self.length, self.linked):
-            row = ["bias", f"tag={tag}", *(f"name={w}" for w in names)]
+            row = ["bias", "alone" if len(self.tag) == 1 else f"tag={tag}{bool(n):d}", *(f"name={w}" for w in names)]
             if n:
                 row.append("long" if n >= 80 else "middle" if n >= 25 else "short")
                 share = linked / n
@@ -136,16 +161,17 @@ def _sum(a: float, b: float) -> float:
     return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
 
 
-def marginals(parent: list[int], unary: list[float], pair: list[float]) -> tuple[list[float], list[list[float]], float]:
+def marginals(parent: list[int], unary: list[float], edges: list[list[float]]) -> tuple[list[float], list[list[float]], float]:
     """Content probabilities, pair probabilities (per child: 00, 01, 10, 11) and the log partition.
 
-    ``unary`` is the content potential (boilerplate has 0); ``pair`` is indexed 2 * parent + child.
+    ``unary`` is the content potential (boilerplate has 0); ``edges`` has for each child the potential
+    of the edge to its parent, indexed 2 * parent + child.
     """
     n = len(parent)
     in0, in1 = [0.0] * n, list(unary)  # potential and messages from the children
     up0, up1 = [0.0] * n, [0.0] * n
     for k in range(n - 1, 0, -1):
-        a, b = in0[k], in1[k]
+        a, b, pair = in0[k], in1[k], edges[k]
         up0[k], up1[k] = _sum(pair[0] + a, pair[1] + b), _sum(pair[2] + a, pair[3] + b)
         p = parent[k]
         in0[p] += up0[k]
@@ -155,7 +181,7 @@ def marginals(parent: list[int], unary: list[float], pair: list[float]) -> tuple
     prob, pairs = [0.0] * n, [[0.0] * 4 for _ in range(n)]
     prob[0] = math.exp(full1[0] - total)
     for k in range(1, n):
-        p = parent[k]
+        p, pair = parent[k], edges[k]
         out0, out1 = full0[p] - up0[k], full1[p] - up1[k]
         full0[k], full1[k] = in0[k] + _sum(out0 + pair[0], out1 + pair[2]), in1[k] + _sum(out0 + pair[1], out1 + pair[3])
         z = _sum(full0[k], full1[k])
@@ -164,8 +190,16 @@ def marginals(parent: list[int], unary: list[float], pair: list[float]) -> tuple
     return prob, pairs, total
 
 
+def kinds(page: Page) -> list[int]:
+    """Of each block's edge: whether its parent says something of what it holds, or is only layout."""
+    plain = [tag in LAYOUT and not names for tag, names in zip(page.tag, page.names)]
+    return [int(p >= 0 and plain[p]) for p in page.parent]
+
+
 class Model:
-    def __init__(self, weights: dict[str, float], pair: list[float]):
+    """Weights of features, and an edge potential for each kind of edge."""
+
+    def __init__(self, weights: dict[str, float], pair: list[list[float]]):
         self.weights, self.pair = weights, pair
 
     def unary(self, page: Page) -> list[float]:
@@ -173,7 +207,7 @@ class Model:
         return [sum(get(f, 0.0) for f in row) for row in page.features()]
 
     def probabilities(self, page: Page) -> list[float]:
-        return marginals(page.parent, self.unary(page), self.pair)[0]
+        return marginals(page.parent, self.unary(page), [self.pair[k] for k in kinds(page)])[0]
 
     def extract(self, source: str) -> str:
         if not source:
@@ -186,26 +220,27 @@ class Model:
 def train(pages: list[tuple[Page, list[int]]], rounds: int = 150, rate: float = 0.5, ridge: float = 0.02) -> Model:
     """AdaGrad ascent on the likelihood; labels are 1 for content blocks."""
     names = sorted({f for page, _ in pages for row in page.features() for f in row})
-    weights, pair = dict.fromkeys(names, 0.0), [0.0] * 4
-    seen, seen_pair = dict.fromkeys(names, 1e-6), [1e-6] * 4
-    rows = [(page.parent, page.features(), labels) for page, labels in pages]
+    weights, pair = dict.fromkeys(names, 0.0), [[0.0] * 4 for _ in range(2)]
+    seen, seen_pair = dict.fromkeys(names, 1e-6), [[1e-6] * 4 for _ in range(2)]
+    rows = [(page.parent, kinds(page), page.features(), labels) for page, labels in pages]
     for _ in range(rounds):
-        slope, slope_pair = {f: -ridge * w for f, w in weights.items()}, [-ridge * w for w in pair]
-        for parent, features, labels in rows:
-            prob, pairs, _total = marginals(parent, [sum(weights[f] for f in row) for row in features], pair)
+        slope, slope_pair = {f: -ridge * w for f, w in weights.items()}, [[-ridge * w for w in own] for own in pair]
+        for parent, kind, features, labels in rows:
+            prob, pairs, _total = marginals(parent, [sum(weights[f] for f in row) for row in features], [pair[k] for k in kind])
             for k, row in enumerate(features):
                 off = labels[k] - prob[k]
                 for f in row:
                     slope[f] += off
                 if k:
                     for c in range(4):
-                        slope_pair[c] += (c == 2 * labels[parent[k]] + labels[k]) - pairs[k][c]
+                        slope_pair[kind[k]][c] += (c == 2 * labels[parent[k]] + labels[k]) - pairs[k][c]
         for f, g in slope.items():
             seen[f] += g * g
             weights[f] += rate * g / math.sqrt(seen[f])
-        for c, g in enumerate(slope_pair):
-            seen_pair[c] += g * g
-            pair[c] += rate * g / math.sqrt(seen_pair[c])
+        for own, slopes, total in zip(pair, slope_pair, seen_pair):
+            for c, g in enumerate(slopes):
+                total[c] += g * g
+                own[c] += rate * g / math.sqrt(total[c])
     return Model(weights, pair)
 
 
@@ -236,13 +271,29 @@ BOILERPLATE = (
     '<section class="comments" id="comments"><h2>{w}</h2><div class="comment"><p>{l}</p></div><div class="comment"><p>{s}</p></div></section>',
     '<div id="comments"><ol class="commentlist"><li class="comment"><p>{l}</p></li><li class="comment"><p>{s}</p></li></ol></div>',
     '<div class="disclaimer popup modal"><p>{s}</p></div>',
+    "<div hidden><p>{s}</p></div>",
+    '<div style="display:none"><p>{l}</p></div>',
+    '<p aria-hidden="true">{s}</p>',
+    '<div class="widget author meta tags"><p>{s}</p></div>',
+    '<div class="comments"><p>{l}</p><p>{s}</p></div>',
+    '<section class="reactions discussion replies responses"><p>{l}</p><p>{l}</p></section>',
+    '<div class="footer bottom copyright legal">{s}</div>',
+    '<section id="respond" class="comment replies"><h3>{w}</h3><form><p>{s}</p></form></section>',
+    '<div class="alert warning message"><p>{s}</p></div>',
 )
 CONTAINERS = (("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content article" id="content">', "</div>"), ('<div class="post entry story">', "</div>"), ('<section class="text body">', "</section>"), ("<main><article>", "</article></main>"), ('<div role="main" id="main">', "</div>"))
+#: Names that mark any element as boilerplate, and elements that take one of them.
+NAMES = "nav navigation navbar menu header masthead footer sidebar ad ads advert banner promo sponsored cookie consent notice newsletter subscribe search login related social share breadcrumbs comments comment replies respond disclaimer popup modal widget copyright".split()
+MARKED = ('<div class="%s">{s}</div>', '<div id="%s">{w}</div>', '<div id="%s"><p>{l}</p></div>', '<section class="%s"><p>{s}</p><p>{l}</p></section>', '<ul class="%s"><li>{w}<li>{s}</ul>')
+#: What holds an article that no tag or name marks.
+UNNAMED = (("", ""), ("", ""), ("<div>", "</div>"), ("<div><div>", "</div></div>"), ("<center>", "</center>"), ("<table><tr><td>", "</td></tr></table>"), ("<section>", "</section>"), ('<div id="q" class="x">', "</div>"))
+#: Content that is text right in its container.
+BARE = ("{l}", "{l}<br>{l}", "{s} <b>{l}</b> {l}", "{l}<p>{l}</p>")
 CONTENT = ("<h1>{s}</h1>", "<h2>{s}</h2>", "<p>{l}</p>", "<p>{l}</p>", "<p>{s}</p>", "<p>{w}</p>", "<p><b>{s}<br><p>{l}", "<p>{l} <a href='/z'>{w}</a> {s}</p>", "<ul><li>{s}</li><li>{l}</li></ul>", "<blockquote><p>{l}</p></blockquote>", "<pre>{l}</pre>", "<table><tr><td>{s}</td><td>{w}</td></tr></table>", "<div>{l}</div>", "<section><h3>{s}</h3><p>{l}</p></section>", "<figure><figcaption>{s}</figcaption></figure>", "<h3>{w}</h3>")
 MARK = "\x02"
 
 
-def labelled_pages(n: int = 120, seed: int = 5) -> list[tuple[Page, list[int]]]:
+def labelled_pages(n: int = 320, seed: int = 5) -> list[tuple[Page, list[int]]]:
     """Pages composed of the elements above. Content words carry a mark that only labelling sees."""
     import random
 
@@ -252,18 +303,34 @@ def labelled_pages(n: int = 120, seed: int = 5) -> list[tuple[Page, list[int]]]:
         words = lambda k: " ".join(mark + "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(2, 9))) for _ in range(k))
         return re.sub(r"\{([wsl])\}", lambda m: words({"w": draw.randint(1, 2), "s": draw.randint(3, 9), "l": draw.randint(15, 40)}[m[1]]) + "." * (m[1] != "w"), part)
 
+    def boilerplate(k: int) -> list[str]:
+        return [draw.choice(MARKED) % draw.choice(NAMES) if draw.random() < 0.4 else thin(draw.choice(BOILERPLATE)) for _ in range(k)]
+
+    def thin(part: str) -> str:
+        """Some of each element's names, one at least, so that every name learns to stand alone."""
+        return re.sub(r'class="([^"]+)"', lambda m: 'class="' + " ".join(draw.sample(m[1].split(), draw.randint(1, len(m[1].split())))) + '"', part)
+
     out = []
     for _ in range(n):
-        around = lambda k: [fill(part.replace("<li>", "<li>{w}</li><li>" * draw.choice((0, 0, 9)) + "<li>"), "") for part in draw.choices(BOILERPLATE, k=draw.randint(0, k))]  # noqa: E731, B023
-        opens, ends = draw.choice(CONTAINERS)
-        inner = [fill(draw.choice(CONTENT), MARK) for _ in range(draw.randint(0, 7))]
+        around = lambda k: [fill(part.replace("<li>", "<li>{w}</li><li>" * draw.choice((0, 0, 9)) + "<li>"), "") for part in boilerplate(draw.randint(0, k))]  # noqa: E731, B023
+        named = draw.random() < 0.6
+        opens, ends = draw.choice(CONTAINERS if named else UNNAMED)
+        inner = [fill(draw.choice(CONTENT), MARK) for _ in range(draw.randint(0 if named else 3, 7))]
         if draw.random() < 0.35:  # many short paragraphs make an article too
             inner += [fill(draw.choice(("<p>{w}</p>", "<p>{s}</p>", "<li>{w}")), MARK) for _ in range(draw.randint(15, 60))]
+        if not named and draw.random() < 0.4:
+            inner = [fill(draw.choice(BARE), MARK)]
         if draw.random() < 0.4:
-            inner.insert(draw.randint(0, len(inner)), fill(draw.choice(BOILERPLATE), ""))
-        source = "<html><body>" + "".join([*around(3), opens, fill("<h1>{s}</h1>", MARK), *inner, ends, *around(3)]) + "</body></html>"
+            inner.insert(draw.randint(0, len(inner)), fill(boilerplate(1)[0], ""))
+        source = "<html><body>" + "".join([*around(3), opens, fill("<h1>{s}</h1>", MARK) if named or draw.random() < 0.4 else "", *inner, ends, *around(3)]) + "</body></html>"
         if draw.random() < 0.3:
             source = source.replace("<body>", '<body><div class="page wrapper">').replace("</body>", "</div></body>")
+        elif draw.random() < 0.15:
+            source = source.replace("<html><body>", "").replace("</body></html>", "")
+        elif draw.random() < 0.12:
+            source = "".join(fill(draw.choice(("<p>{l}</p>", "<p>{s}</p>", "<p>{w}</p>")), MARK) for _ in range(draw.randint(1, 4)))
+        elif draw.random() < 0.1:
+            source = fill("\n\n".join(draw.choices(("{l}", "{s}"), k=draw.randint(1, 4))), MARK)
         page = Page(source)
         label, plain = [0] * len(page.tag), [0] * len(page.tag)
         for k, text in page.segments:
@@ -274,7 +341,7 @@ def labelled_pages(n: int = 120, seed: int = 5) -> list[tuple[Page, list[int]]]:
         for k in range(len(label) - 1, 0, -1):  # a container is content where all or most below it is
             if not label[k] and not plain[k]:
                 below = [c for c in range(k + 1, len(label)) if page.parent[c] == k]
-                label[k] = int(bool(below) and 2 * sum(label[c] for c in below) > len(below) and page.tag[k] not in ("body", "html") and "wrapper" not in page.names[k])
+                label[k] = int(bool(below) and 2 * sum(label[c] for c in below) > len(below))
         page.length = [sum(len(t.replace(MARK, "")) for k, t in page.segments if k == j) for j in range(len(label))]
         out.append((page, label))
     return out
