@@ -103,6 +103,8 @@ def test_archives_round_trip(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     assert {r["record_type"] for r in warc.page_records(frame, min_bytes=5).filter("payload_bytes < 5").collect()} == {"response"}
     packages = warc.write_archives(frame, package_bytes=200)
+    urls = [(r["record_id"], r["target_uri"]) for r in warc.read_archives(packages).collect()]
+    assert sorted(urls, key=repr) == sorted((("urn:x-page:" + ("" if i is None else str(i)), u) for i, u, _ in PAGES), key=repr)
     assert packages.count() >= 3
     full = {r["record_id"]: r["payload"] for r in warc.read_archives(packages, payloads=True).filter("record_type = 'response'").collect()}
     assert bytes(full["urn:x-page:5"]).decode() == "é漢🙂" * 2000

@@ -9,7 +9,8 @@ header, reads the index, and then fetches runs of neighbouring records by byte r
 Writers put packages into the shared scratch folder under a name of their own and report them; only
 reported packages are read, so a failed or repeated attempt leaves nothing that counts.
 
-Defined results: a null payload is empty; null ids and URLs are kept as such; of records with equal
+Defined results: a null payload is empty; null ids and URLs come back as null and all others as they
+were, but that control characters of a URL (and white space at its ends) are percent-encoded; of records with equal
 payloads of at least ``min_bytes`` bytes that with the largest id is the response and the others
 revisit it (rows that repeat that id are responses too; records without an id are responses where no
 equal record has one); an empty table gives no records.
@@ -21,6 +22,7 @@ import base64
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -39,6 +41,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 #: A package is closed at this size; a range read covers about so many bytes.
 PACKAGE_BYTES, RANGE_BYTES = 256 << 20, 4 << 20
+#: What a header field cannot hold: control characters and line ends, and white space at its ends.
+_CONTROL = re.compile(r"[\x00-\x1f\x7f\x85\u2028\u2029]|^\s+|\s+$")
 _RECORD_SCHEMA = "record_id string, target_uri string, record_type string, refers_to string, payload_bytes long, payload_digest string"
 
 
@@ -46,11 +50,12 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, record_id: str, uri: str, payload: bytes, *, digest: str, size: int, refers_to: str | None = None) -> bytes:
+def record(kind: str, record_id: str, uri: str | None, payload: bytes, *, digest: str, size: int, refers_to: str | None = None) -> bytes:
     """One gzip member that holds a WARC record; a revisit keeps the HTTP header alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + payload
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {quote(uri, safe=''.join(map(chr, range(33, 127))))}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    target = [] if uri is None else [f"WARC-Target-URI: {_CONTROL.sub(lambda m: quote(m[0]), uri)}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}", *target, f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{refers_to}>"]
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -206,7 +211,7 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
                     package = PackageWriter(_Unseekable(out))
                 page, last, body = page.as_py(), last.as_py(), payload.as_py().encode()
                 revisit = last is not None and page != last
-                raw = record("revisit" if revisit else "response", _name(page), url.as_py() or "", b"" if revisit else body, digest=payload_digest(body), size=len(body), refers_to=_name(last) if revisit else None)
+                raw = record("revisit" if revisit else "response", _name(page), url.as_py(), b"" if revisit else body, digest=payload_digest(body), size=len(body), refers_to=_name(last) if revisit else None)
                 package.add(raw, id=_name(page), type="revisit" if revisit else "response")
                 if package.size >= package_bytes:
                     finish()
@@ -274,7 +279,7 @@ def read_archives(packages: DataFrame, *, payloads: bool = False) -> DataFrame:
                     if warc["warc-type"] == "response" and (size != len(body) or digest != payload_digest(body)):
                         raise ValueError(f"{uri}: the payload of {warc['warc-record-id']} is not what was written")
                     refers = warc.get("warc-refers-to")
-                    rows.append((warc["warc-record-id"].strip("<>"), warc["warc-target-uri"], warc["warc-type"], refers.strip("<>") if refers else None, size, digest, body))
+                    rows.append((warc["warc-record-id"].strip("<>"), warc.get("warc-target-uri"), warc["warc-type"], refers.strip("<>") if refers else None, size, digest, body))
                 cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()))]
                 names = ["record_id", "target_uri", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
                 yield pa.RecordBatch.from_arrays(cols[: 6 + payloads], names[: 6 + payloads])
