@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,9 +24,12 @@ ARROW_BYTES = "4m"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared scratch folder: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """Shared scratch folder: ``spark.checkpoint.dir``, or a temporary one where it is unset and all
+    runs in this process. On a cluster each executor would write to its own disk, so that is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="weft-scratch-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         root = f"file://{local}"
@@ -48,6 +52,26 @@ def clean(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def made(since: int = 0) -> list[str]:
+    """The scratch folders of this process that are not deleted yet, from the one at ``since`` on."""
+    return _SCRATCH[since:]
+
+
+def release(paths: list[str], reader: DataFrame) -> list[str]:
+    """Delete those scratch folders that ``reader`` does not read; returns the others."""
+    spark = reader.sparkSession
+    leaves = reader._jdf.queryExecution().analyzed().collectLeaves()
+    read = " ".join(leaves.apply(k).relation().location().rootPaths().mkString(" ") for k in range(leaves.size()) if leaves.apply(k).getClass().getSimpleName() == "LogicalRelation" and "HadoopFsRelation" in leaves.apply(k).relation().getClass().getSimpleName())
+    hadoop, kept = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, []
+    for path in paths:
+        if os.path.basename(path) in read:
+            kept.append(path)
+        elif path in _SCRATCH:
+            _SCRATCH.remove(path)
+            hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop(path), True)
+    return kept
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` once to the shared scratch folder and return a scan of it.
 
