@@ -20,6 +20,23 @@ ex:Cat a rdfs:Class ; rdfs:subClassOf ex:Animal .
 """
 
 
+def test_every_scheme_is_checked(tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a b.ttl").write_text("")
+    (tmp_path / "out.ttl").write_text("")
+    own = Settings(allowed_root=str(tmp_path / "in"))
+    for path in (f"{tmp_path}/in/a b.ttl", f"file://{tmp_path}/in/a b.ttl", f"file:{tmp_path}/in/a%20b.ttl", f"FILE://localhost{tmp_path}/in/a b.ttl"):
+        assert rdf.allowed(path, own) == f"{tmp_path}/in/a b.ttl"
+    for path in (f"file://{tmp_path}/out.ttl", f"file://{tmp_path}/in/../out.ttl", f"file://host{tmp_path}/in/a b.ttl", "s3a://bucket/x", "hdfs:///x", f"{tmp_path}/in/../out.ttl"):
+        with pytest.raises(PathNotAllowedError):
+            rdf.allowed(path, own)
+    far = Settings(allowed_root="s3a://bucket/data")
+    assert rdf.allowed("s3a://bucket/data/x/../y.ttl", far) == "s3a://bucket/data/y.ttl"
+    for path in ("s3a://bucket/data/../x", "s3a://other/data/x", "s3a://bucket/database/x", f"{tmp_path}/out.ttl"):
+        with pytest.raises(PathNotAllowedError):
+            rdf.allowed(path, far)
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     return PropertyGraph.of(spark, [("a", {"label": 'Node "A" <&>', "n": 1, "mix": 1}), ("b", {"label": "Node B", "deep": {"k": [1, 2]}, "mix": "x"}), "c"], [("a", "b", {"weight": 1.0}), ("b", "c", {"weight": 2.5, "ok": True})], name="small").persist()

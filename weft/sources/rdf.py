@@ -8,8 +8,11 @@ literals are counted and left out, and named graphs are not told apart.
 from __future__ import annotations
 
 import json
+import posixpath
+import re
 from dataclasses import dataclass
-from pathlib import Path
+from pathlib import Path, PurePosixPath
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,14 +52,33 @@ def format_of(name: str, given: str | None = None) -> str:
     return EXTENSIONS[suffix]
 
 
+_SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]+):(.*)", re.S)
+
+
+def _place(path: str, strict: bool) -> tuple[str, str]:
+    """Store (empty for the local disk) and normalised path."""
+    scheme, rest = found.groups() if (found := _SCHEME.fullmatch(path)) else ("", path)
+    if scheme.lower() not in ("", "file"):
+        store, _, inner = rest.removeprefix("//").partition("/")
+        return f"{scheme.lower()}://{store}", posixpath.normpath("/" + unquote(inner))
+    if scheme:
+        host, _, inner = rest.removeprefix("//").partition("/") if rest.startswith("//") else ("", "", rest.removeprefix("/"))
+        if host not in ("", "localhost"):
+            raise PathNotAllowedError(f"{path!r} names another host")
+        rest = "/" + unquote(inner)
+    return "", str(Path(rest).resolve(strict=strict))
+
+
 def allowed(path: str, settings: Settings = DEFAULTS) -> str:
-    """The resolved path, where it lies within ``settings.allowed_root`` (if there is one)."""
-    if settings.allowed_root is None or "://" in path:
+    """The resolved path, where it lies within ``settings.allowed_root`` (if there is one). Paths of
+    every scheme are checked: one of another store than the root's is refused."""
+    if settings.allowed_root is None:
         return path
-    real = Path(path).resolve(strict=True)
-    if not real.is_relative_to(Path(settings.allowed_root).resolve(strict=True)):
+    store, inner = _place(path, strict=True)
+    root_store, root = _place(settings.allowed_root, strict=True)
+    if store != root_store or not PurePosixPath(inner).is_relative_to(root):
         raise PathNotAllowedError(f"{path!r} is outside the allowed root")
-    return str(real)
+    return store + inner
 
 
 def _unescaped(c: Column) -> Column:
