@@ -12,6 +12,15 @@ from weft.graph import PropertyGraph, numbered
 from weft.operators import centrality, community, components, dag, mutate, paths, schema, structure, transform, traversal
 
 
+@pytest.fixture(autouse=True, scope="module")
+def one_task():
+    """Small graphs here; ``test_small.py`` compares with the distributed loops."""
+    from weft.operators import small
+
+    with small.one_task_up_to(1_000_000):
+        yield
+
+
 def make(spark, nodes, edges, **kind):
     return PropertyGraph.of(spark, list(nodes), list(edges), **kind)
 
