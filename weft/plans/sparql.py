@@ -69,6 +69,15 @@ class Expr:
     separator: str = " "
 
 
+def _used(e: Any) -> set[str]:
+    """The variables of an expression."""
+    if isinstance(e, Expr):
+        return {e.args[0]} if e.op == "var" else set().union(*map(_used, e.args))
+    if isinstance(e, Term):
+        return {e.value} if e.kind == "var" else set()
+    return set().union(*map(_used, e)) if isinstance(e, (list, tuple)) else set()
+
+
 @dataclass
 class Group:
     parts: list = field(default_factory=list)
@@ -506,11 +515,19 @@ class Compiler:
 
     # Joins
 
-    def join(self, a: Rows, b: Rows, how: str = "inner", condition=None) -> Rows:
+    def join(self, a: Rows, b: Rows, how: str = "inner", condition=None, unbound: frozenset = frozenset()) -> Rows:
+        """Rows of ``a`` with and without a value for a variable that may be open are joined apart, so
+        that each join has equal keys; ``unbound`` variables of ``a`` have no value."""
         shared = [v for v in a.variables if v in b.variables]
+        if (v := next((v for v in shared if v in a.open and v not in b.open and v not in unbound), None)) is not None:
+            some = self.join(Rows(a.df.filter(_col(v).isNotNull()), a.variables, a.open - {v}), b, how, condition, unbound)
+            none = self.join(Rows(a.df.filter(_col(v).isNull()), a.variables, a.open), b, how, condition, unbound | {v})
+            return Rows(some.df.unionByName(none.df), some.variables, some.open | none.open)
         right = b.df.select(*[_col(v).alias(f"r_{_name(v)}") for v in b.variables]) if b.variables else b.df.select(F.lit(1).alias("r_unit"))
         tests = []
         for v in shared:
+            if v in unbound:
+                continue
             left_col, right_col = _col(v), F.col(f"r_{_name(v)}")
             same = left_col == right_col
             tests.append(same | left_col.isNull() | right_col.isNull() if v in a.open or v in b.open else same)
@@ -656,8 +673,14 @@ class Compiler:
         negative = test.op == "not" and test.args[0].op == "exists"
         if test.op == "exists" or negative:
             inner = (test.args[0] if negative else test).args[0]
-            right = self.group(inner)
+            own = lambda p: p[0] == "filter" and p[1].op != "exists" and not (p[1].op == "not" and p[1].args[0].op == "exists")
+            right = self.group(Group([p for p in inner.parts if not own(p)]))
+            tests = [p[1] for p in inner.parts if own(p)]  # these see the outer row's variables as well
             both = [v for v in rows.variables if v in right.variables]
+            if tests:
+                used = set().union(*map(_used, tests))
+                right = Rows(right.df.select(*[_col(v) for v in right.variables if v in both or v in used] or [F.lit(1).alias("_unit")]), tuple(v for v in right.variables if v in both or v in used), right.open & {*both, *used})
+                return self.join(rows, right, "left_anti" if negative else "left_semi", lambda env: reduce(lambda x, y: x & y, [self.truth(t, env) for t in tests]))
             if not both:
                 any_row = bool(right.df.limit(1).count())
                 return rows if any_row != negative else Rows(rows.df.filter(F.lit(False)), rows.variables, rows.open)
