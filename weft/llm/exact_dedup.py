@@ -37,7 +37,7 @@ def normalised(text: Column | str) -> Column:
 
 def _prepared(df: DataFrame, id_col: str, text_col: str, payload: str | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Rows of digests that are not hot, and rows of hot ones (None where there are none): ``at`` (a
-    row number), ``id, n, head, sha, salt`` and ``norm``, or the column ``payload``, a struct that
+    row number), ``id, n, head, sha`` (and ``salt``, if hot) and ``norm``, or the column ``payload``, a struct that
     holds the text, where one is named (the text is then stored and shuffled within it)."""
     rows = df.select(F.monotonically_increasing_id().alias("at"), F.col(id_col).alias("id"), whole(text_col).alias("t"), *([payload] if payload else []))
     rows = rows.select("*", F.char_length("t").alias("n"), normalised("t").alias("norm"))
@@ -47,17 +47,19 @@ def _prepared(df: DataFrame, id_col: str, text_col: str, payload: str | None = N
     copies = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("copies")).filter((F.col("copies") > 1) & (F.col("copies") >= -(-total // HOT_SHARE)))
     hot = materialize(copies.select("sha", F.ceil(F.col("copies") * spread / total).alias("salts")), "hot")
     if hot.isEmpty():
-        return rows.withColumn("salt", F.lit(0).cast("long")), None
-    cold = rows.join(F.broadcast(hot), "sha", "left_anti").withColumn("salt", F.lit(0).cast("long"))
-    return cold, rows.join(F.broadcast(hot), "sha").withColumn("salt", F.pmod("at", "salts")).drop("salts")
+        return rows, None
+    return rows.join(F.broadcast(hot), "sha", "left_anti"), rows.join(F.broadcast(hot), "sha").withColumn("salt", F.pmod("at", "salts")).drop("salts")
 
 
-def _runs(rows: DataFrame, payload: str | None = None, field: str = "text") -> DataFrame:
+COLD, HOT = ("head", "sha"), ("head", "sha", "salt")
+
+
+def _runs(rows: DataFrame, keys: tuple[str, ...], payload: str | None = None, field: str = "text") -> DataFrame:
     """``rows`` range-partitioned and sorted by content, with ``norm``, ``run`` and ``fresh``."""
-    rows = rows.repartitionByRange("head", "sha", "salt")
+    rows = rows.repartitionByRange(*keys)
     if payload:
         rows = rows.withColumn("norm", normalised(F.col(f"{payload}.`{field}`")))
-    return _compared(rows, "head", "sha", "salt")
+    return _compared(rows, *keys)
 
 
 def _compared(rows: DataFrame, *keys: str, run: str = "run", fresh: str = "fresh") -> DataFrame:
@@ -79,13 +81,16 @@ def _whole_groups(leads: DataFrame) -> DataFrame:
 def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, keep_id, group_size, kept, text_sha256`` for every row of ``df``."""
     cold, hot = _prepared(df, id_col, text_col)
-    run = Window.partitionBy("head", "sha", "salt", "run")
-    sized = lambda rows: rows.select("*", F.count(F.lit(1)).over(run).alias("size"), F.max(F.when(F.col("fresh"), F.struct("at", "id"))).over(run).alias("first"))
+
+    def sized(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        run = Window.partitionBy(*keys, "run")
+        return rows.select("*", F.count(F.lit(1)).over(run).alias("size"), F.max(F.when(F.col("fresh"), F.struct("at", "id"))).over(run).alias("first"))
+
     named = lambda rows, size: rows.select("id", F.col("first.id").alias("keep_id"), F.col(size).alias("group_size"), (F.col("first.at") == F.col("at")).alias("kept"), F.col("sha").alias("text_sha256"))
-    out = named(sized(_runs(cold)), "size")
+    out = named(sized(_runs(cold, COLD), COLD), "size")
     if hot is None:
         return out
-    rows = sized(_runs(hot).withColumn("norm", F.when(F.col("fresh"), F.col("norm"))))  # the first of a run is compared once more
+    rows = sized(_runs(hot, HOT).withColumn("norm", F.when(F.col("fresh"), F.col("norm"))), HOT)  # the first of a run is compared once more
     rows = materialize(rows.drop("first"), "hot-runs")
     groups = _whole_groups(rows.filter("fresh")).select("head", "sha", "salt", "run", "first", "all_rows")
     return out.unionByName(named(rows.drop("norm").join(F.broadcast(groups), ["head", "sha", "salt", "run"]), "all_rows"))
@@ -95,8 +100,8 @@ def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``df`` that stay, with all their columns."""
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     cold, hot = _prepared(packed, "_id", "_text", "_row")
-    out = _runs(cold, "_row", text_col).filter("fresh").select("_row.*")
+    out = _runs(cold, COLD, "_row", text_col).filter("fresh").select("_row.*")
     if hot is None:
         return out
-    leads = _whole_groups(_runs(hot, "_row", text_col).filter("fresh").withColumn("size", F.lit(1)))
+    leads = _whole_groups(_runs(hot, HOT, "_row", text_col).filter("fresh").withColumn("size", F.lit(1)))
     return out.unionByName(leads.filter(F.col("first.at") == F.col("at")).select("_row.*"))
