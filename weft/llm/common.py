@@ -26,10 +26,10 @@ def join_lookup(big: DataFrame, lookup: DataFrame, key: str, count: str, total:
     which no key exceeds that share. ``count`` is dropped.
     """
     limit = max(1, -(-total // HOT_SHARE))
-    hot = lookup.filter(F.col(count) >= limit).drop(count)
+    values = [c for c in lookup.columns if c not in (key, count)]
+    hot = lookup.filter(F.col(count) >= limit).select(F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in values])
     cold = lookup.filter(F.col(count) < limit).drop(count)
-    flags = hot.select(F.col(key).alias("_hot_key"))
-    marked = big.join(F.broadcast(flags), F.col(key) == F.col("_hot_key"), "left")
-    first = marked.filter(F.col("_hot_key").isNotNull()).drop("_hot_key").join(F.broadcast(hot), key, "left")
-    rest = marked.filter(F.col("_hot_key").isNull()).drop("_hot_key").join(cold, key, "left")
+    marked = big.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    first = marked.filter(F.col("_hot_key").isNotNull()).select(*big.columns, *[F.col(f"_hot_{c}").alias(c) for c in values])
+    rest = marked.filter(F.col("_hot_key").isNull()).select(*big.columns).join(cold, key, "left")
     return first.unionByName(rest)

@@ -36,7 +36,7 @@ BUCKET = 4096
 PIVOTS = 16
 #: For near copies by similarity: words of a shingle, bands of a MinHash signature and places of
 #: each, members of a block when pairs are dealt out, and rounds of stars before that.
-WIDE_SHINGLE, BANDS, ROWS, BLOCK, STARS = 5, 48, 6, 256, 2
+WIDE_SHINGLE, BANDS, ROWS, BLOCK, STARS = 5, 48, 6, 256, 1
 #: Shingles of a text that are hashed to bits at a time.
 CHUNK = 100_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
