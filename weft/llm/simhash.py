@@ -319,8 +319,8 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     Documents with equal sets (by a digest of 128 bits) are one class. A class that agrees with no
     other in any of ``BANDS`` bands of a MinHash signature has no partner; that depends on the
     similarity alone, not on the shape of an edit nor on the size of a bucket, and a pair at 0.8 is
-    missed once in two million. Within a bucket a few rounds compare all members with one of them, as
-    many pairs as members, which joins large groups of copies. Members of buckets that still hold
+    missed once in two million. Within a bucket each round compares all members with two of them, twice
+    as many pairs as members, which joins large groups of copies. Members of buckets that still hold
     several components then meet by their rarest shingles (:func:`_by_rare_shingles`), which loses no
     link and makes no pairs of documents that merely share a passage. Every compared pair is decided
     by the sets themselves.
@@ -370,10 +370,10 @@ def _mixed(placed: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
 
 
 def _star(placed: DataFrame, done: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """Each member paired with one of its bucket, another one each turn."""
-    centre = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "size", "root")).alias("c")
-    centres = placed.groupBy("code").agg(centre, F.count(F.lit(1)).alias("n"))
-    pairs = join_lookup(placed, centres, "code", "n", placed.count()).filter((F.col("root") != F.col("c.root")) & _alike(F.col("size"), F.col("c.size"), similarity))
+    """Each member paired with two of its bucket, others each turn."""
+    drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "size", "root")
+    centres = placed.groupBy("code").agg(F.array(F.min(drawn), F.max(drawn)).alias("centres"), F.count(F.lit(1)).alias("n"))
+    pairs = join_lookup(placed, centres, "code", "n", placed.count()).select("node", "size", "root", F.explode("centres").alias("c")).filter((F.col("root") != F.col("c.root")) & _alike(F.col("size"), F.col("c.size"), similarity))
     pairs = pairs.select(F.greatest("node", "c.node").alias("u"), F.least("node", "c.node").alias("v")).distinct()
     return materialize(pairs.join(done, ["u", "v"], "left_anti"), "star")
 
