@@ -415,3 +415,18 @@ def test_near_copies_in_large_buckets(spark):
                 want = [min(want[a], want[b]) if w in (want[a], want[b]) else w for w in want]
     assert len(set(want)) == 60
     assert _roots(spark, texts, bucket=3, stars=0) == _roots(spark, texts) == want
+
+
+def test_join_spread_splits_hot_keys(spark):
+    """Rows of a key that holds most of a table meet their look-up row in many parts, each row once."""
+    from pyspark.sql import functions as F
+
+    from weft.llm.common import join_spread
+
+    big = spark.range(3000).select(F.when(F.col("id") < 2500, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("by"))
+    counts = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    lookup = big.select("k").distinct().filter("k <> 2999").select("k", F.array("k", F.lit(1)).alias("value"))
+    rows = join_spread(big, counts, lookup, "k", "n", 3000, "by").collect()
+    assert sorted(r.by for r in rows) == list(range(2999))
+    assert all(list(r.value) == [r.k, 1] for r in rows) and set(rows[0].asDict()) == {"k", "by", "value"}
+    assert join_spread(big.limit(0), counts.limit(0), lookup, "k", "n", 0, "by").count() == 0

@@ -33,3 +33,19 @@ def join_lookup(big: DataFrame, lookup: DataFrame, key: str, count: str, total:
     first = marked.filter(F.col("_hot_key").isNotNull()).select(*big.columns, *[F.col(f"_hot_{c}").alias(c) for c in values])
     rest = marked.filter(F.col("_hot_key").isNull()).select(*big.columns).join(cold, key, "left")
     return first.unionByName(rest)
+
+
+def join_spread(big: DataFrame, counts: DataFrame, lookup: DataFrame, key: str, count: str, total: int, by: str) -> DataFrame:
+    """Inner join of ``big`` to ``lookup`` (one row a key, of any size in bytes) without broadcasting it.
+
+    ``counts`` has the number of rows of ``big`` a key. Each ``1/HOT_SHARE`` of ``total`` that a key
+    holds is a part of its own: rows of ``big`` are dealt to parts by the column ``by``, the row of
+    ``lookup`` goes to each part. That makes at most ``HOT_SHARE`` copies besides the first of each
+    key; only keys and numbers of parts are broadcast, of at most ``HOT_SHARE`` keys.
+    """
+    limit = max(1, -(-total // HOT_SHARE))
+    parts = F.ceil(F.col(count) / limit).cast("int")
+    hot = counts.filter(F.col(count) > limit).select(F.col(key).alias("_hot_key"), parts.alias("_parts"))
+    dealt = big.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").select(*big.columns, F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0)).alias("_part"))
+    copies = counts.join(lookup, key).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(count)
+    return dealt.join(copies, [key, "_part"]).drop("_part")

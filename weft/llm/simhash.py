@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import join_lookup, whole
+from weft.llm.common import join_lookup, join_spread, whole
 from weft.runtime import materialize, ship
 
 BITS = 3
@@ -289,9 +289,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], ["u", "v"])
 
     total = pairs.count()
-    for side in ("u", "v"):
-        lookup = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")).join(sets.select(F.col("node").alias(side), F.col("set").alias(f"s{side}")), side)
-        pairs = join_lookup(pairs, lookup, side, "n", total)
+    counts = {side: pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")) for side in ("u", "v")}
+    for side, other in (("u", "v"), ("v", "u")):
+        pairs = join_spread(pairs, counts[side], sets.select(F.col("node").alias(side), F.col("set").alias(f"s{side}")), side, "n", total, other)
     return materialize(pairs.mapInArrow(run, "u long, v long"), "links")
 
 
