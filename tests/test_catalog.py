@@ -32,6 +32,15 @@ def test_query(spark, sf, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["graphml_round_trip"])
+def test_no_limit(spark, sf, duck, monkeypatch, name):
+    """Whole tables of any size go round: no reader that refuses long text is in the way."""
+    from weft.sources import documents
+
+    monkeypatch.setattr(documents, "_capped", lambda data, limit, what: pytest.fail(f"bounded {what}"))
+    assert rows(catalog.QUERIES[name](spark, sf).toPandas()) == rows(duck.sql(catalog.ORACLE_SQL[name]).df())
+
+
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
 

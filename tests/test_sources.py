@@ -11,7 +11,7 @@ from weft.functions import props as P
 from weft.graph import PropertyGraph
 from weft.plans import sparql
 from weft.settings import Settings
-from weft.sources import documents, rdf, tables
+from weft.sources import documents, folders, rdf, tables
 
 TURTLE = """@prefix ex: <http://example.org/> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
 ex:Animal a rdfs:Class ; rdfs:label "Animal"@en .
@@ -83,6 +83,40 @@ def test_xml(spark, small):
         documents.from_gexf(spark, "<gexf/>")
 
 
+FOLDERS = ["graphml"]
+READERS = {"graphml": documents.from_graphml, "gexf": documents.from_gexf, "adjacency": documents.from_adjacency_json, "json": documents.from_json}
+
+
+@pytest.fixture
+def short_splits(spark):
+    """Files are read in many splits, so lists and parts go over their ends."""
+    own = {"spark.sql.files.maxPartitionBytes": "1200", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k in own:
+        spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("kind", FOLDERS)
+def test_folders(spark, tmp_path, short_splits, kind):
+    nodes = [(f"n{k}", {"label": f"line\n{k}\r\n\tof <&> \"x\"", "n": k, "deep": {"k": ["]", "[", k]}} if k % 3 else {}) for k in reversed(range(40))]
+    edges = [(f"n{a}", f"n{b}", {"w": a / 2, "note": ',"[\n]'} if b % 2 else {}) for a, b in [(k, k // 2) for k in range(1, 40)] + [(7, k) for k in range(8, 30)]]
+    for directed, g in ((True, PropertyGraph.of(spark, nodes, edges, name="odd <&>")), (False, PropertyGraph.of(spark, nodes[:1], [], directed=False)), (True, PropertyGraph.empty(spark))):
+        root = tmp_path / f"{directed}{g.n_nodes()}"
+        getattr(folders, f"save_{kind}")(g, f"file://{root}")
+        text = "".join(f.read_text() for f in sorted(root.glob("*/part-*")))
+        back, whole = getattr(folders, f"load_{kind}")(spark, f"file://{root}"), READERS[kind](spark, text)
+        assert state(back) == state(whole) and (back.directed, back.multi, back.name) == (whole.directed, whole.multi, whole.name) and back.directed == directed
+        order = lambda x: ([r["id"] for r in x.nodes.orderBy("ord").collect()], [(r["src"], r["dst"]) for r in x.edges.orderBy("eord").collect()])
+        assert order(back) == order(whole) and order(back)[0] == order(g)[0]
+        assert state(back)[1] == state(g)[1]
+    (part := root / "1-nodes").mkdir(exist_ok=True)
+    (part / "part-9").write_text("nonsense\n")
+    with pytest.raises(InvalidFormatError):
+        getattr(folders, f"load_{kind}")(spark, f"file://{root}")
+
+
 def test_drawings(spark, small):
     dot = documents.to_dot(small, node_label=F.coalesce(P.string(F.col("props")["label"]), "id"))
     assert dot.startswith('digraph "G" {\n') and '"a" [label="Node \\"A\\" <&>"];' in dot and '"a" -> "b";' in dot
@@ -91,6 +125,20 @@ def test_drawings(spark, small):
     assert 'n_1_x["1 x"]' in shown and 'n_empty[""]' in shown and "1 more nodes omitted" in shown and "-->" not in shown
 
 
+def test_adjacency_folder(spark, tmp_path):
+    def load(*lines):
+        for part, text in (("0-head", '{"nodes":{'), ("1-nodes", '"a":{"k":1}\n,"c":{}'), ("2-middle", '},"edges":{'), ("3-edges", "\n".join(lines)), ("4-tail", "}}")):
+            (tmp_path / part).mkdir(exist_ok=True)
+            (tmp_path / part / "part-0").write_text(text)
+        return folders.load_adjacency(spark, f"file://{tmp_path}"), documents.from_adjacency_json(spark, "".join(f.read_text() for f in sorted(tmp_path.glob("*/part-*"))))
+
+    back, whole = load('"z":[', ']', ',"b":[', '"y"', ',["c",{"k":1}]', ",5", ']', ',"a":[', '["x"]', "]")
+    assert state(back) == state(whole) and [r["id"] for r in back.nodes.orderBy("ord").collect()] == ["a", "c", "z", "b", "y", "x"] == [r["id"] for r in whole.nodes.orderBy("ord").collect()]
+    for wrong in (['["c",{}]'], ['"b":[', "]", '["c",{}]'], ['"b":[', "[5]", "]"]):
+        with pytest.raises(ValueError):
+            load(*wrong)
+
+
 def test_tables_and_storage(spark, small, tmp_path):
     nodes, edges = tables.to_tabular(small)
     assert nodes.columns == ["id", "deep", "label", "mix", "n"] and edges.columns == ["source", "target", "ok", "weight"]

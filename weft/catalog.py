@@ -11,7 +11,8 @@ from weft.functions import props as P
 from weft.graph import PropertyGraph
 from weft.operators import centrality, community, components, dag, mutate, paths, schema, structure, transform, traversal
 from weft.plans import sparql
-from weft.sources import documents, rdf, star, tables
+from weft.runtime import scratch_path
+from weft.sources import documents, folders, rdf, star, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -661,7 +662,9 @@ def json_round_trip(spark, sf):
 
 @query(GEO + "SELECT src, dst, type FROM edges")
 def graphml_round_trip(spark, sf):
-    g = documents.from_graphml(spark, documents.to_graphml(geo(spark, sf)))
+    root = scratch_path(spark, "graphml")
+    folders.save_graphml(geo(spark, sf), root)
+    g = folders.load_graphml(spark, root)
     return g.edges.select("src", "dst", P.string(F.col("props")["type"]).alias("type"))
 
 
@@ -716,8 +719,6 @@ def adjacency_round_trip(spark, sf):
 
 @query(GEO + "SELECT id, type, balance FROM nodes")
 def storage_round_trip(spark, sf):
-    from weft.runtime import scratch_path
-
     root = scratch_path(spark, "store")
     tables.save(geo(spark, sf), root, "geo")
     return tables.load(spark, root, "geo").nodes.select("id", P.string(F.col("props")["type"]).alias("type"), P.number(F.col("props")["balance"]).alias("balance"))

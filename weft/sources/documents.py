@@ -1,7 +1,8 @@
 """Graph documents: JSON, adjacency JSON, GraphML, GEXF, DOT and Mermaid.
 
 Readers take bounded text. Writers build every line as a column expression, so ``*_lines`` can be
-written by the cluster; the string forms gather those lines in order.
+written by the cluster; the string forms gather those lines in order. ``weft.sources.folders`` writes
+and reads documents of any size by the same lines and ``parse_*``.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import json
 from contextlib import suppress
 from itertools import chain
-from typing import Any
+from typing import Any, NamedTuple
 from xml.etree import ElementTree
 from xml.sax.saxutils import quoteattr
 
@@ -22,6 +23,16 @@ from weft.graph import PropertyGraph
 from weft.settings import DEFAULTS, Settings
 
 
+class Parsed(NamedTuple):
+    """What a document says: nodes (id, properties), edges (source, target, properties) and flags."""
+
+    nodes: list
+    edges: list
+    directed: bool
+    multi: bool = False
+    name: str | None = None
+
+
 def _capped(data: str, limit: int, what: str) -> str:
     if len(data.encode()) > limit:
         raise LimitExceededError(f"the {what} text has more than {limit} bytes")
@@ -52,13 +63,18 @@ def _strict(what: str, value: Any, required: set[str], optional: set[str] = froz
     return value
 
 
-def from_json(spark: SparkSession, data: str, settings: Settings = DEFAULTS) -> PropertyGraph:
-    """Strict form: every field is required but ``multi``, and unknown ones are refused."""
-    doc = _strict("the graph", _object(_capped(data, settings.max_bytes, "JSON")), {"directed", "name", "nodes", "edges"}, {"multi"})
+def parse_json(data: str) -> Parsed:
+    doc = _strict("the graph", _object(data), {"directed", "name", "nodes", "edges"}, {"multi"})
     nodes = [_strict("a node", n, {"id", "properties"}) for n in doc["nodes"]]
     edges = [_strict("an edge", e, {"source", "target", "properties"}) for e in doc["edges"]]
-    _counted(nodes, edges, settings)
-    return PropertyGraph.of(spark, [(n["id"], n["properties"]) for n in nodes], [(e["source"], e["target"], e["properties"]) for e in edges], doc["directed"], doc.get("multi", False), doc["name"] or None)
+    return Parsed([(n["id"], n["properties"]) for n in nodes], [(e["source"], e["target"], e["properties"]) for e in edges], doc["directed"], doc.get("multi", False), doc["name"] or None)
+
+
+def from_json(spark: SparkSession, data: str, settings: Settings = DEFAULTS) -> PropertyGraph:
+    """Strict form: every field is required but ``multi``, and unknown ones are refused."""
+    parsed = parse_json(_capped(data, settings.max_bytes, "JSON"))
+    _counted(parsed.nodes, parsed.edges, settings)
+    return PropertyGraph.of(spark, *parsed)
 
 
 def from_inline_json(spark: SparkSession, data: str, settings: Settings = DEFAULTS) -> PropertyGraph:
@@ -76,17 +92,23 @@ def props_json(props: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))
 
 
+def json_lines(g: PropertyGraph) -> tuple[str, DataFrame, str, DataFrame, str]:
+    """Head, nodes (``k, value``), what stands between, edges and tail; commas are the writer's."""
+    nodes = g.nodes.select(F.col("ord").alias("k"), F.concat(F.lit('{"id":'), P.quote(F.col("id")), F.lit(',"properties":'), props_json(F.col("props")), F.lit("}")).alias("value"))
+    edges = g.edges.select(F.col("eord").alias("k"), F.concat(F.lit('{"source":'), P.quote(F.col("src")), F.lit(',"target":'), P.quote(F.col("dst")), F.lit(',"properties":'), props_json(F.col("props")), F.lit("}")).alias("value"))
+    head = f'{{"directed":{json.dumps(g.directed)},"multi":{json.dumps(g.multi)},"name":{json.dumps(g.name or "")},"nodes":['
+    return head, nodes, '],"edges":[', edges, "]}"
+
+
 def to_json(g: PropertyGraph) -> str:
-    nodes = g.nodes.orderBy("ord").select(F.concat(F.lit('{"id":'), P.quote(F.col("id")), F.lit(',"properties":'), props_json(F.col("props")), F.lit("}")).alias("v"))
-    edges = g.edges.orderBy("eord").select(F.concat(F.lit('{"source":'), P.quote(F.col("src")), F.lit(',"target":'), P.quote(F.col("dst")), F.lit(',"properties":'), props_json(F.col("props")), F.lit("}")).alias("v"))
-    head = f'{{"directed":{json.dumps(g.directed)},"multi":{json.dumps(g.multi)},"name":{json.dumps(g.name or "")}'
-    return head + ',"nodes":[' + ",".join(r["v"] for r in nodes.toLocalIterator()) + '],"edges":[' + ",".join(r["v"] for r in edges.toLocalIterator()) + "]}"
+    head, nodes, middle, edges, tail = json_lines(g)
+    return head + _gather(nodes, ",") + middle + _gather(edges, ",") + tail
 
 
 # -- adjacency JSON ----------------------------------------------------------------------------------
 
 
-def _link(entry: Any) -> tuple[Any, dict] | None:
+def link(entry: Any) -> tuple[Any, dict] | None:
     """Target and properties of one entry of a source's list; None for what names no target."""
     match entry:
         case str():
@@ -98,39 +120,51 @@ def _link(entry: Any) -> tuple[Any, dict] | None:
     return None
 
 
-def from_adjacency_json(spark: SparkSession, data: str, settings: Settings = DEFAULTS) -> PropertyGraph:
-    """Endpoints need no entry of their own; entries that are neither a list nor a string are skipped."""
-    doc = _object(_capped(data, settings.max_bytes, "adjacency"))
+def parse_adjacency(data: str) -> Parsed:
+    doc = _object(data)
     parts = doc.get("nodes", {}), doc.get("edges", {})
     if not all(isinstance(part, dict) for part in parts):
         raise InvalidFormatError("'nodes' and 'edges' must be JSON objects")
     declared, lists = parts
-    links = {source: list(filter(None, map(_link, entries))) if isinstance(entries, list) else [] for source, entries in lists.items()}
+    links = {source: list(filter(None, map(link, entries))) if isinstance(entries, list) else [] for source, entries in lists.items()}
     named = chain.from_iterable((source, *(target for target, _ in own)) for source, own in links.items())
     nodes = [(n, p if isinstance(p, dict) else {}) for n, p in declared.items()] + [(n, {}) for n in dict.fromkeys(named) if n not in declared]
     edges = [(source, target, props) for source, own in links.items() for target, props in own]
-    _counted(nodes, edges, settings)
-    return PropertyGraph.of(spark, nodes, edges, doc.get("directed", True))
+    return Parsed(nodes, edges, doc.get("directed", True))
+
+
+def from_adjacency_json(spark: SparkSession, data: str, settings: Settings = DEFAULTS) -> PropertyGraph:
+    """Endpoints need no entry of their own; entries that are neither a list nor a string are skipped."""
+    parsed = parse_adjacency(_capped(data, settings.max_bytes, "adjacency"))
+    _counted(parsed.nodes, parsed.edges, settings)
+    return PropertyGraph.of(spark, *parsed)
+
+
+def adjacency_pair() -> Column:
+    """An edge's entry in the list of its source."""
+    return F.concat(F.lit("["), P.quote(F.col("dst")), F.lit(","), props_json(F.col("props")), F.lit("]"))
+
+
+def adjacency_nodes(g: PropertyGraph) -> DataFrame:
+    """``k, value``: each node with its properties as JSON."""
+    return g.nodes.select(F.col("ord").alias("k"), F.concat(P.quote(F.col("id")), F.lit(":"), props_json(F.col("props"))).alias("value"))
 
 
 def adjacency_rows(g: PropertyGraph) -> DataFrame:
     """``src, value``: each source with its targets as JSON."""
-    pair = F.concat(F.lit("["), P.quote(F.col("dst")), F.lit(","), props_json(F.col("props")), F.lit("]"))
-    rows = g.edges.select("src", "eord", pair.alias("pair")).groupBy("src").agg(F.min("eord").alias("eord"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("eord", "pair"))), lambda x: x["pair"]), ",").alias("pairs"))
+    rows = g.edges.select("src", "eord", adjacency_pair().alias("pair")).groupBy("src").agg(F.min("eord").alias("eord"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("eord", "pair"))), lambda x: x["pair"]), ",").alias("pairs"))
     return rows.select("src", "eord", F.concat(P.quote(F.col("src")), F.lit(":["), "pairs", F.lit("]")).alias("value"))
 
 
 def to_adjacency_json(g: PropertyGraph) -> str:
-    nodes = g.nodes.orderBy("ord").select(F.concat(P.quote(F.col("id")), F.lit(":"), props_json(F.col("props"))).alias("value"))
-    body = f'{{"directed":{json.dumps(g.directed)},"nodes":{{' + ",".join(r["value"] for r in nodes.toLocalIterator()) + '},"edges":{' + ",".join(r["value"] for r in adjacency_rows(g).orderBy("eord").toLocalIterator()) + "}}"
+    body = f'{{"directed":{json.dumps(g.directed)},"nodes":{{' + _gather(adjacency_nodes(g), ",") + '},"edges":{' + _gather(adjacency_rows(g).withColumnRenamed("eord", "k"), ",") + "}}"
     return json.dumps(json.loads(body), indent=2)
 
 
 # -- GraphML and GEXF ----------------------------------------------------------------------------------
 
 
-def _xml(data: str, settings: Settings) -> tuple[ElementTree.Element, str]:
-    _capped(data, settings.max_xml_bytes, "XML")
+def _xml(data: str) -> tuple[ElementTree.Element, str]:
     if "<!DOCTYPE" in data or "<!ENTITY" in data:
         raise InvalidFormatError("document types and entities are refused")
     try:
@@ -175,8 +209,8 @@ def _attribute(el: ElementTree.Element, name: str) -> str:
     return value
 
 
-def from_graphml(spark: SparkSession, data: str, settings: Settings = DEFAULTS) -> PropertyGraph:
-    root, ns = _xml(data, settings)
+def parse_graphml(data: str) -> Parsed:
+    root, ns = _xml(data)
     keys = {k.get("id", ""): (k.get("attr.name", k.get("id", "")), k.get("attr.type", "string")) for k in root.iter(f"{ns}key")}
     graph = _graph_element(root, ns)
 
@@ -189,11 +223,15 @@ def from_graphml(spark: SparkSession, data: str, settings: Settings = DEFAULTS)
 
     nodes = [(_attribute(n, "id"), props(n)) for n in graph.iter(f"{ns}node")]
     edges = [(_attribute(e, "source"), _attribute(e, "target"), props(e)) for e in graph.iter(f"{ns}edge")]
-    return PropertyGraph.of(spark, nodes, edges, graph.get("edgedefault", "directed") == "directed", name=graph.get("id") or None)
+    return Parsed(nodes, edges, graph.get("edgedefault", "directed") == "directed", name=graph.get("id") or None)
 
 
-def from_gexf(spark: SparkSession, data: str, settings: Settings = DEFAULTS) -> PropertyGraph:
-    root, ns = _xml(data, settings)
+def from_graphml(spark: SparkSession, data: str, settings: Settings = DEFAULTS) -> PropertyGraph:
+    return PropertyGraph.of(spark, *parse_graphml(_capped(data, settings.max_xml_bytes, "XML")))
+
+
+def parse_gexf(data: str) -> Parsed:
+    root, ns = _xml(data)
     graph = _graph_element(root, ns)
     known = {(group.get("class", ""), a.get("id", "")): (a.get("title", a.get("id", "")), a.get("type", "string")) for group in graph.findall(f"{ns}attributes") for a in group.findall(f"{ns}attribute")}
 
@@ -206,7 +244,11 @@ def from_gexf(spark: SparkSession, data: str, settings: Settings = DEFAULTS) ->
 
     nodes = [(_attribute(n, "id"), props(n, "node")) for n in graph.findall(f"{ns}nodes/{ns}node")]
     edges = [(_attribute(e, "source"), _attribute(e, "target"), props(e, "edge")) for e in graph.findall(f"{ns}edges/{ns}edge")]
-    return PropertyGraph.of(spark, nodes, edges, graph.get("defaultedgetype", "directed") == "directed")
+    return Parsed(nodes, edges, graph.get("defaultedgetype", "directed") == "directed")
+
+
+def from_gexf(spark: SparkSession, data: str, settings: Settings = DEFAULTS) -> PropertyGraph:
+    return PropertyGraph.of(spark, *parse_gexf(_capped(data, settings.max_xml_bytes, "XML")))
 
 
 def key_types(rows: DataFrame) -> dict[str, str]:
@@ -226,13 +268,14 @@ def _plain(text: Column) -> Column:
 
 
 def _xml_text(c: Column) -> Column:
-    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    """Line ends become references: readers keep them as they are, and raw ones are layout alone."""
+    for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "&#10;"), ("\r", "&#13;")):
+        c = F.replace(c, F.lit(raw), F.lit(name))
+    return c
 
 
 def _xml_attr(c: Column) -> Column:
-    out = F.replace(_xml_text(c), F.lit('"'), F.lit("&quot;"))
-    for raw, name in (("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#09;")):
-        out = F.replace(out, F.lit(raw), F.lit(name))
+    out = F.replace(F.replace(_xml_text(c), F.lit('"'), F.lit("&quot;")), F.lit("\t"), F.lit("&#09;"))
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
@@ -279,8 +322,9 @@ def gexf_lines(g: PropertyGraph) -> tuple[str, DataFrame, DataFrame, str, str]:
     return "\n".join(head) + "\n", nodes, edges, "    </nodes>\n    <edges>\n", "    </edges>\n  </graph>\n</gexf>\n"
 
 
-def _gather(rows: DataFrame) -> str:
-    return "".join(r["value"] + "\n" for r in rows.orderBy("k").toLocalIterator())
+def _gather(rows: DataFrame, between: str = "") -> str:
+    lines = (r["value"] for r in rows.orderBy("k").toLocalIterator())
+    return between.join(lines) if between else "".join(line + "\n" for line in lines)
 
 
 def to_graphml(g: PropertyGraph) -> str:
