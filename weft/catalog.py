@@ -670,7 +670,9 @@ def graphml_round_trip(spark, sf):
 
 @query(GEO + "SELECT src, dst, type FROM edges")
 def gexf_round_trip(spark, sf):
-    g = documents.from_gexf(spark, documents.to_gexf(geo(spark, sf)))
+    root = scratch_path(spark, "gexf")
+    folders.save_gexf(geo(spark, sf), root)
+    g = folders.load_gexf(spark, root)
     return g.edges.select("src", "dst", P.string(F.col("props")["type"]).alias("type"))
 
 
