@@ -715,7 +715,9 @@ def to_mermaid(spark, sf):
 
 @query(GEO + "SELECT src, dst, type FROM edges")
 def adjacency_round_trip(spark, sf):
-    g = documents.from_adjacency_json(spark, documents.to_adjacency_json(geo(spark, sf)))
+    root = scratch_path(spark, "adjacency")
+    folders.save_adjacency(geo(spark, sf), root)
+    g = folders.load_adjacency(spark, root)
     return g.edges.select("src", "dst", P.string(F.col("props")["type"]).alias("type"))
 
 
