@@ -32,7 +32,7 @@ def test_query(spark, sf, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["graphml_round_trip", "gexf_round_trip", "adjacency_round_trip"])
+@pytest.mark.parametrize("name", ["graphml_round_trip", "gexf_round_trip", "adjacency_round_trip", "json_round_trip"])
 def test_no_limit(spark, sf, duck, monkeypatch, name):
     """Whole tables of any size go round: no reader that refuses long text is in the way."""
     from weft.sources import documents

@@ -83,7 +83,7 @@ def test_xml(spark, small):
         documents.from_gexf(spark, "<gexf/>")
 
 
-FOLDERS = ["graphml", "gexf", "adjacency"]
+FOLDERS = ["graphml", "gexf", "adjacency", "json"]
 READERS = {"graphml": documents.from_graphml, "gexf": documents.from_gexf, "adjacency": documents.from_adjacency_json, "json": documents.from_json}
 
 
